@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .lines import LINE_REPORT_SQL
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_report
+
+    return line_report(documents(spark, sf_dir))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
@@ -46,5 +53,5 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_benchmark_decontamination, op3_toxicity, op5_quality_classifier, op8_license_scan, op9_quality_rules, op10_bpe_round_trip)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_benchmark_decontamination, op3_toxicity, op5_quality_classifier, op7_line_dedup, op8_license_scan, op9_quality_rules, op10_bpe_round_trip)}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": LINE_REPORT_SQL}
