@@ -60,7 +60,7 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     (rows without an id do not count as documents). Columns may have any names.
     """
     recurring = recurring_templates(df, id_col, text_col, min_docs).select("path")
-    lines = _parsed(df, id_col, text_col).select("doc", "key", F.posexplode("paths").alias("line", "path"))
+    lines = _parsed(df, id_col, text_col).select("doc", "key", F.posexplode_outer("paths").alias("line", "path"))  # outer: no filter that parses once more is put below
     cut = lines.join(recurring, "path").groupBy("doc", "key").agg(F.sort_array(F.collect_set("line")).alias("cut"))
     row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("own_doc"), F.col(text_col).cast("string").alias("own_text"))
     row = row.withColumn("own_key", _key("own_doc", "own_text"))
