@@ -23,6 +23,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .setsketch import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
 
@@ -53,5 +59,5 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_benchmark_decontamination, op3_toxicity, op5_quality_classifier, op7_line_dedup, op8_license_scan, op9_quality_rules, op10_bpe_round_trip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_benchmark_decontamination, op3_toxicity, op4_minhash_near_dedup, op5_quality_classifier, op7_line_dedup, op8_license_scan, op9_quality_rules, op10_bpe_round_trip)}
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": LINE_REPORT_SQL}
