@@ -161,6 +161,30 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def anchors(grams: np.ndarray, w: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, number, anchor) of the runs of windows that share an anchor.
+
+    A window starts at each place where valid is true and holds w consecutive grams; its anchor is
+    the place of the smallest of them (by the upper 32 bits, the leftmost of equal ones). That depends
+    on the window's content alone, so windows of equal content have equal grams at their anchors.
+    """
+    if not len(valid) or not valid.any():
+        return (np.empty(0, np.int64),) * 3
+    packed = (grams & U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+    at = np.flatnonzero(valid)
+    anchor = (sliding_min(packed, w)[at] & U(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, (np.diff(anchor) != 0) | (np.diff(at) != 1)])
+    return at[first], np.diff(np.r_[first, len(at)]), anchor[first]
+
+
+def lists_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bounds) of a list column; a null list is an empty one."""
+    if column.null_count:
+        column = column.fill_null([])
+    bounds = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 def map_slices(df: DataFrame, schema: str, work: Callable[[Slice], dict | pa.RecordBatch | None], text: int = 1, max_bytes: int = SLICE_BYTES) -> DataFrame:
     """Runs work on each slice; work returns the columns of its rows, as arrays in the schema's order."""
     names = [x.name for x in df.sparkSession.createDataFrame([], schema).schema.fields]
@@ -190,6 +214,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, kept as a table in the shared folder: the plan before it is cut, and lost executors lose nothing."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of the job that has ended
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
