@@ -11,6 +11,12 @@ from .common import documents
 from .lines import LINE_REPORT_SQL
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import drop_repeats
+
+    return drop_repeats(documents(spark, sf_dir))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination_report
 
@@ -65,5 +71,5 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_benchmark_decontamination, op3_toxicity, op4_minhash_near_dedup, op5_quality_classifier, op6_substring_dedup, op7_line_dedup, op8_license_scan, op9_quality_rules, op10_bpe_round_trip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_benchmark_decontamination, op3_toxicity, op4_minhash_near_dedup, op5_quality_classifier, op6_substring_dedup, op7_line_dedup, op8_license_scan, op9_quality_rules, op10_bpe_round_trip)}
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": LINE_REPORT_SQL}
