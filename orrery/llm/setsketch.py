@@ -8,10 +8,11 @@ pairs from a bucket are estimated by the joint likelihood of their registers, gi
 and what may reach the threshold is verified on the full sets.
 
 Pairs are not all pairs of a bucket. First each member meets the bucket's smallest one, next a member
-drawn at random in each bucket that still holds several components; last, where several components
-still share a bucket, members of different components meet if the last bits of their registers are
-near enough. Every link between classes that share a bucket is so found, or lies inside a component
-already.
+drawn at random in each bucket that still holds several components. What shares a bucket after that,
+but no component, is brought together as a cluster, each text once: its members are compared on
+their full sets by one membership array for each of them, and only new links leave the task. A
+cluster too large for a task is cut into blocks, and each pair of blocks is a task. Every link
+between classes that share a bucket is so found, or lies inside a component already.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Two sketches whose registers' last bits differ in more places are not compared: for sets at the threshold that is six standard deviations.
 FAR_BITS = 37
+#: Shingles in one block of a cluster.
+BLOCK_SHINGLES = 400_000
 #: A pair is given up if its likelihood at the threshold is so much (natural logarithm) below its best one at less: five standard deviations.
 GIVEN_UP = 13.0
 _MULTIPLIERS, _OFFSETS = _table(101, REGISTERS), _table(102, REGISTERS)
@@ -163,6 +166,86 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _links_within(members: list[tuple], paired: bool) -> list[tuple[int, int]]:
+    """Links between members of different components that share a band; enough of them to join what they join.
+
+    members: (side, rep, component, n, registers, text) in order of side. With paired, only links
+    between the sides are looked for.
+    """
+    sides, reps, labels, n = (np.array([m[i] for m in members], np.int64) for i in range(4))
+    bands = np.frombuffer(b"".join(m[4] for m in members), np.uint32).reshape(len(members), BANDS)
+    texts = [m[5] for m in members]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    owner, ids = [], []
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    for first in range(0, len(members), 1024):
+        last = min(first + 1024, len(members))
+        doc, hashes = shingle_sets(data[at[first] : at[last]], at[first : last + 1] - at[first])
+        owner.append(doc + first)
+        ids.append(hashes)
+    owner, ids = np.concatenate(owner), np.unique(np.concatenate(ids), return_inverse=True)[1]
+    bounds = np.searchsorted(owner, np.arange(len(members) + 1))
+    flag = np.zeros(int(ids.max()) + 1, bool)
+    out = []
+    for i in range(len(members) - 1):
+        others = np.arange(i + 1, len(members))
+        go = (labels[others] != labels[i]) & (100 * np.minimum(n[others], n[i]) >= PERCENT * np.maximum(n[others], n[i]))
+        if paired:
+            go &= sides[others] != sides[i]
+        others = others[go]
+        others = others[(bands[others] == bands[i]).any(1)] if len(others) else others
+        if not len(others):
+            continue
+        own = ids[bounds[i] : bounds[i + 1]]
+        flag[own] = True
+        if len(others) < 16:
+            shared = np.array([flag[ids[bounds[j] : bounds[j + 1]]].sum() for j in others])
+        else:
+            running = np.concatenate([[0], np.cumsum(flag[ids])])
+            shared = running[bounds[others + 1]] - running[bounds[others]]
+        flag[own] = False
+        for j in others[100 * shared >= PERCENT * (n[others] + n[i] - shared)].tolist():
+            if labels[j] != labels[i]:
+                out.append((int(reps[i]), int(reps[j])))
+                labels[labels == labels[j]] = labels[i]
+    return out
+
+
+def _cluster_links(open_rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links of open_rows (key, rep, component): between classes that share a key and no component."""
+    from .components import components
+
+    stars = open_rows.join(open_rows.groupBy("key").agg(F.min("rep").alias("head")), "key").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    clusters = components(stars)
+    nodes = open_rows.select(F.col("rep").alias("node"), "component").distinct().withColumnRenamed("component", "part").join(clusters, "node")
+    rows = nodes.join(classes.select(F.col("rep").alias("node"), "n", "registers"), "node").select(F.col("component").alias("cluster"), "node", "part", "n", "registers")
+    blocks = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = dealt.select(F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.col("block").alias("side"), "node", "part", "n", "registers")
+    full = task.join(docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")), "node")
+    full = full.select("task", "cluster", "p", "q", "side", "node", "part", "n", "registers", "text").repartition("task").sortWithinPartitions("task", "cluster", "p", "q", "side", "node")
+
+    def run(batches):
+        key, held = None, []
+
+        def flush():
+            links = _links_within(held, key[1] != key[2]) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(1, batch.num_columns))):
+                if row[:3] != key:
+                    if key is not None:
+                        yield flush()
+                    key, held = row[:3], []
+                held.append(row[3:])
+        if key is not None:
+            yield flush()
+
+    return full.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that links reach, the row's own included), kept (they are equal).
 
@@ -184,27 +267,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = written(members.join(heads, "key").select("key", "rep", "n", "bits1", "bits2", "head"), "buckets")
     tried = written(shared.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = written(_verified(_estimated(tried, classes), docs), "links")
-    for last in (False, True):
-        found = components(links) if not links.isEmpty() else None
-        if found is None:
+
+    def still_open() -> DataFrame:
+        """The members of buckets that hold several components, with one member of each bucket drawn at random."""
+        if links.isEmpty():
             part = shared.withColumn("component", F.col("rep"))
         else:
-            part = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            part = shared.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = part.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("rep", "component", "n", "bits1", "bits2"), F.xxhash64("rep", "key")).alias("drawn")).where("lo <> hi")
-        open_rows = written(part.join(mixed.select("key", "drawn"), "key").select("key", "rep", "component", "n", "bits1", "bits2", "drawn"), "open")
-        near = (F.bit_count(F.col("bits1").bitwiseXOR(F.col("o1"))) + F.bit_count(F.col("bits2").bitwiseXOR(F.col("o2"))) <= FAR_BITS) & _near_sizes("n", "m")
-        if last:
-            x = open_rows.drop("drawn")
-            y = x.select("key", F.col("rep").alias("other"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("bits1").alias("o1"), F.col("bits2").alias("o2"))
-            new = x.join(y, (x["key"] == y["key"]) & (F.col("component") < F.col("c")) & near)
-        else:
-            new = open_rows.select("rep", "component", "n", "bits1", "bits2", F.col("drawn.rep").alias("other"), F.col("drawn.component").alias("c"), F.col("drawn.n").alias("m"), F.col("drawn.bits1").alias("o1"), F.col("drawn.bits2").alias("o2")).where((F.col("component") != F.col("c")) & near)
-        new = new.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        new = written(new, "pairs")
-        if not new.isEmpty():
-            more = written(_verified(_estimated(new, classes), docs), "links")
-            tried = tried.union(new)
-            links = links.union(more)
+        return written(part.join(mixed.select("key", "drawn"), "key").select("key", "rep", "component", "n", "bits1", "bits2", "drawn"), "open")
+
+    near = (F.bit_count(F.col("bits1").bitwiseXOR(F.col("drawn.bits1"))) + F.bit_count(F.col("bits2").bitwiseXOR(F.col("drawn.bits2"))) <= FAR_BITS) & _near_sizes("n", "drawn.n")
+    again = still_open().where((F.col("component") != F.col("drawn.component")) & near).select(F.least("rep", "drawn.rep").alias("a"), F.greatest("rep", "drawn.rep").alias("b")).distinct()
+    again = written(again.join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not again.isEmpty():
+        links = links.union(written(_verified(_estimated(again, classes), docs), "links"))
+    left = still_open()
+    if not left.isEmpty():
+        links = links.union(written(_cluster_links(left.select("key", "rep", "component"), classes, docs), "links"))
     found = components(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     member = real.select("doc_id", "s1", "s2", "n_shingles").join(classes.select("s1", "s2", F.col("n").alias("n_shingles"), "rep"), ["s1", "s2", "n_shingles"])
     # a class of a later text of an id ties its members to that id's other texts, through the representative or through the id itself
