@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, SPACE, Slice, anchors, doc_texts, lists_of, map_slices, mix, prefix_hash, slices, span_hash, words_of, written
+from .common import BYTE_VALUES, SPACE, Slice, anchors, discard, doc_texts, lists_of, map_slices, mix, prefix_hash, slices, span_hash, words_of, written
 
 WIDTH = 13
 
@@ -66,6 +66,8 @@ def duplicate_windows(df: DataFrame, width: int = WIDTH) -> DataFrame:
     repeated = seen.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
     alive = written(seen.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("h").alias("alive")), "survivors")
 
+    discard(seen)
+
     def level_two(batches):
         for part in slices(batches, 1):
             doc, first, number, h, c, bounds = _runs(part, width)
@@ -77,12 +79,15 @@ def duplicate_windows(df: DataFrame, width: int = WIDTH) -> DataFrame:
 
     with_alive = docs.join(alive.withColumnRenamed("doc_id", "own"), F.col("doc_id") == F.col("own")).drop("own")
     runs = written(with_alive.mapInArrow(level_two, "h long, c long, doc_id long, first int, n int"), "runs")
+    discard(alive)
     kinds = written(runs.groupBy("h", "c").agg(F.min("doc_id").alias("least")), "kinds")
     mixed = kinds.groupBy("h").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").select("h", F.lit(True).alias("mixed"))
     placed = runs.join(kinds.join(mixed, "h", "left"), ["h", "c"])
     # a run of an earlier document is done; the first of its kind is opened if another kind has the same anchor
     placed = written(placed.where("doc_id > least or mixed").select("doc_id", "first", "n", (F.col("doc_id") > F.col("least")).alias("whole")), "placed")
 
+    discard(runs, kinds)
+
     def opened(batches):
         for part in slices(batches, 1):
             _, _, bounds, prefix, _ = _parse(part)
