@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, Slice, anchors, lists_of, map_slices, mix, prefix_hash, slices, span_hash, written
+from .common import BYTE_VALUES, Slice, anchors, discard, lists_of, map_slices, mix, prefix_hash, slices, span_hash, written
 
 WIDTH, GRAM = 400, 64
 HOT = 4096
@@ -173,6 +173,7 @@ def repeated_runs(df: DataFrame, width: int = WIDTH) -> DataFrame:
     bytes_of = F.substring(F.col("text").cast("binary"), F.col("first") + 1, F.col("n") + (width - 1))
     contexts = texts.select("h", "c", "count", "kinds", bytes_of.alias("context"))
     contexts = written(contexts, "context-bytes")
+    discard(kinds)
     schema = "h long, c long, firsts array<int>, ends array<int>"
 
     def result(rows: list[tuple], flags: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
@@ -222,6 +223,7 @@ def repeated_runs(df: DataFrame, width: int = WIDTH) -> DataFrame:
         marked = strings.join(again, ["w", "v"]).groupBy("h", "c").agg(F.sort_array(F.collect_set("first")).alias("firsts"))
         runs = runs.union(marked.select("h", "c", "firsts", F.transform("firsts", lambda x: x + width).alias("ends")))
     runs = written(runs, "context-runs")
+    discard(contexts)
     at = places.select("k1", "k2", "h", "c", "first").join(runs, ["h", "c"])
     shifted = at.select("k1", "k2", F.explode(F.arrays_zip(F.transform("firsts", lambda x: x + F.col("first")).alias("a"), F.transform("ends", lambda x: x + F.col("first")).alias("b"))).alias("run"))
     return shifted.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs")).select("k1", "k2", F.col("runs.a").alias("firsts"), F.col("runs.b").alias("ends"))
