@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(most):
-        now = written(_small_star(_large_star(now)), "stars")
+        last, now = now, written(_small_star(_large_star(now)), "stars")
+        discard(last)
         sums = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sums == before:
             break
