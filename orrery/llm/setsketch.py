@@ -8,10 +8,12 @@ pairs from a bucket are estimated by the joint likelihood of their registers, gi
 and what may reach the threshold is verified on the full sets.
 
 Pairs are not all pairs of a bucket. First each member meets the bucket's smallest one, next a member
-drawn at random in each bucket that still holds several components. What shares a bucket after that,
-but no component, is brought together as a cluster, each text once: its members are compared on
-their full sets by one membership array for each of them, and only new links leave the task. A
-cluster too large for a task is cut into blocks, and each pair of blocks is a task. Every link
+drawn at random in each bucket that still holds several components. Where several components share
+a bucket after that, its members' registers are compared in one task, which gives away only a forest
+of the pairs that are near enough. The trees are clusters; the texts of a cluster are brought together
+once, its members are compared on their full sets by one membership array for each of them, and only
+new links leave the task. A bucket or cluster too large for a task is cut into blocks, and each pair
+of blocks is a task. Every link
 between classes that share a bucket is so found, or lies inside a component already.
 """
 
@@ -32,8 +34,10 @@ SHINGLE = 5
 PERCENT = 75
 #: Two sketches whose registers' last bits differ in more places are not compared: for sets at the threshold that is six standard deviations.
 FAR_BITS = 37
-#: Shingles in one block of a cluster.
-BLOCK_SHINGLES = 400_000
+#: Shingles in one block of a cluster, and members in one block of a bucket.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 400_000, 4096
+#: Sets at the threshold have as many equal registers or more: five and a half standard deviations below what is expected.
+NEAR_REGISTERS = 72
 #: A pair is given up if its likelihood at the threshold is so much (natural logarithm) below its best one at less: five standard deviations.
 GIVEN_UP = 13.0
 _MULTIPLIERS, _OFFSETS = _table(101, REGISTERS), _table(102, REGISTERS)
@@ -211,26 +215,27 @@ def _links_within(members: list[tuple], paired: bool) -> list[tuple[int, int]]:
     return out
 
 
-def _cluster_links(open_rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links of open_rows (key, rep, component): between classes that share a key and no component."""
-    from .components import components
+def _dealt(rows: DataFrame, group: str, weight, most: int) -> DataFrame:
+    """rows for tasks of bounded size: a group of more than `most` is cut into blocks, and each pair of blocks is a task.
 
-    stars = open_rows.join(open_rows.groupBy("key").agg(F.min("rep").alias("head")), "key").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
-    clusters = components(stars)
-    nodes = open_rows.select(F.col("rep").alias("node"), "component").distinct().withColumnRenamed("component", "part").join(clusters, "node")
-    rows = nodes.join(classes.select(F.col("rep").alias("node"), "n", "registers"), "node").select(F.col("component").alias("cluster"), "node", "part", "n", "registers")
-    blocks = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = rows.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    Adds task, p, q (the pair) and side (the row's own block).
+    """
+    blocks = rows.groupBy(group).agg(F.ceil(weight / most).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, group).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    task = dealt.select(F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.col("block").alias("side"), "node", "part", "n", "registers")
-    full = task.join(docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")), "node")
-    full = full.select("task", "cluster", "p", "q", "side", "node", "part", "n", "registers", "text").repartition("task").sortWithinPartitions("task", "cluster", "p", "q", "side", "node")
+    p, q = F.least("side", "other"), F.greatest("side", "other")
+    return dealt.withColumns({"task": F.xxhash64(group, p, q), "p": p, "q": q}).drop("other", "blocks")
+
+
+def _by_task(rows: DataFrame, columns: list[str], work) -> DataFrame:
+    """Pairs (a, b) from work(rows of one task, whether it is a pair of two blocks). columns: the group first."""
+    ordered = rows.select("task", columns[0], "p", "q", "side", *columns[1:]).repartition("task").sortWithinPartitions("task", columns[0], "p", "q", "side", "node")
 
     def run(batches):
         key, held = None, []
 
         def flush():
-            links = _links_within(held, key[1] != key[2]) if len(held) > 1 else []
+            links = work(held, key[1] != key[2]) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
         for batch in batches:
@@ -243,7 +248,48 @@ def _cluster_links(open_rows: DataFrame, classes: DataFrame, docs: DataFrame) ->
         if key is not None:
             yield flush()
 
-    return full.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    return ordered.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
+def _near_forest(members: list[tuple], paired: bool) -> list[tuple[int, int]]:
+    """Pairs of different components whose registers are near enough, as many as join what all such pairs join.
+
+    members: (side, rep, component, n, registers).
+    """
+    sides, reps, parts, n = (np.array([m[i] for m in members], np.int64) for i in range(4))
+    rows = np.frombuffer(b"".join(m[4] for m in members), np.uint8).reshape(len(members), REGISTERS)
+    labels, out = np.arange(len(members)), []
+    for i in range(len(members) - 1):
+        later = slice(i + 1, None)
+        go = (labels[later] != labels[i]) & (parts[later] != parts[i]) & (100 * np.minimum(n[later], n[i]) >= PERCENT * np.maximum(n[later], n[i]))
+        if paired:
+            go &= sides[later] != sides[i]
+        others = np.flatnonzero(go) + i + 1
+        if not len(others):
+            continue
+        for j in others[(rows[others] == rows[i]).sum(1) >= NEAR_REGISTERS].tolist():
+            if labels[j] != labels[i]:
+                out.append((int(reps[i]), int(reps[j])))
+                labels[labels == labels[j]] = labels[i]
+    return out
+
+
+def _cluster_links(open_rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links of open_rows (key, rep, component): between classes that share a key and no component."""
+    from .components import components
+
+    side = classes.select(F.col("rep").alias("node"), "n", "registers")
+    rows = open_rows.withColumnsRenamed({"rep": "node", "component": "part"}).join(side, "node")
+    forest = _by_task(_dealt(rows, "key", F.count("*"), BLOCK_MEMBERS), ["key", "node", "part", "n", "registers"], _near_forest)
+    forest = written(forest, "near")
+    if forest.isEmpty():
+        return forest
+    nodes = open_rows.select(F.col("rep").alias("node"), F.col("component").alias("part")).distinct()
+    clusters = components(forest).withColumnRenamed("component", "cluster")
+    rows = nodes.join(clusters, "node").join(side, "node")
+    texts = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text"))
+    full = _dealt(rows, "cluster", F.sum("n"), BLOCK_SHINGLES).join(texts, "node")
+    return _by_task(full, ["cluster", "node", "part", "n", "registers", "text"], _links_within)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
