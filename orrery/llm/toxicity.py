@@ -30,6 +30,8 @@ GRADES = 4
 MIN_DOCS = 3
 #: A word counts only if this share of the toxic documents has it.
 MIN_SHARE = 0.02
+#: And only if it is so many times as frequent in toxic documents as in others.
+MIN_ODDS = 7.0
 
 
 def text_features(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,7 +162,7 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     expected = F.col("n") * (t / total)
     chi = (F.col("a") - expected) ** 2 / expected * total / (total - t) * total / F.greatest(total - F.col("n"), F.lit(1.0))
     counts = rows.mapInArrow(presence, "feature long, a double, n double").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
-    best = counts.where((F.col("n") >= MIN_DOCS) & (F.col("a") >= MIN_SHARE * t) & (F.col("a") > 4 * expected)).withColumn("chi", chi).where("chi > 20").orderBy(F.desc("chi"), "feature").limit(FEATURES).collect()
+    best = counts.where((F.col("n") >= MIN_DOCS) & (F.col("a") >= MIN_SHARE * t) & (F.col("a") * (total - t) > MIN_ODDS * (F.col("n") - F.col("a")) * t)).withColumn("chi", chi).where("chi > 20").orderBy(F.desc("chi"), "feature").limit(FEATURES).collect()
     used = np.sort(np.array([r.feature for r in best], np.int64).view(np.uint64))
     if not len(used):
         return empty
