@@ -2,7 +2,7 @@
 
 A document is its set of five-word shingles. Register i of its sketch is a truncated logarithm of the
 minimum of exponentially distributed hash values of the set: K_i = floor(1 - log_b(min_i)), kept in
-0..255. Sketches of parts merge by the larger register, and equal registers are the likelier the more
+0..65535. Sketches of parts merge by the larger register, and equal registers are the likelier the more
 alike two sets are. Documents of equal sets are one class. Bands of registers put classes in buckets;
 pairs from a bucket are estimated by the joint likelihood of their registers, given both set sizes,
 and what may reach the threshold is verified on the full sets.
@@ -28,16 +28,17 @@ from .common import BYTE_VALUES, LOWER, SPACE, Slice, _bytes_of, _table, doc_tex
 
 ROWS, BANDS = 4, 32
 REGISTERS = ROWS * BANDS
-BASE = 1.2
+#: So near 1 that registers of unrelated sets are rarely equal (1 in 400): candidates then grow with the links, not with all pairs.
+BASE = 1.01
 SHINGLE = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Two sketches whose registers' last bits differ in more places are not compared: for sets at the threshold that is six standard deviations.
-FAR_BITS = 37
+FAR_BITS = 38
 #: Shingles in one block of a cluster, and members in one block of a bucket.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 400_000, 4096
 #: Sets at the threshold have as many equal registers or more: five and a half standard deviations below what is expected.
-NEAR_REGISTERS = 72
+NEAR_REGISTERS = 70
 #: A pair is given up if its likelihood at the threshold is so much (natural logarithm) below its best one at less: five standard deviations.
 GIVEN_UP = 13.0
 _MULTIPLIERS, _OFFSETS = _table(101, REGISTERS), _table(102, REGISTERS)
@@ -64,14 +65,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tup
 
 def registers(doc: np.ndarray, hashes: np.ndarray, n_docs: int) -> np.ndarray:
     """Registers of all documents (rows); a document without shingles has zeros."""
-    out = np.zeros((n_docs, REGISTERS), np.uint8)
+    out = np.zeros((n_docs, REGISTERS), np.uint16)
     if not len(doc):
         return out
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     for i in range(REGISTERS):
         least = np.minimum.reduceat(hashes * _MULTIPLIERS[i] + _OFFSETS[i], first)
         exponential = -np.log1p(-(least.astype(np.float64) + 1) / 2.0**64)
-        out[doc[first], i] = np.clip(np.floor(1 - np.log(np.maximum(exponential, 1e-300)) / np.log(BASE)), 0, 255)
+        out[doc[first], i] = np.clip(np.floor(1 - np.log(np.maximum(exponential, 1e-300)) / np.log(BASE)), 0, 65535)
     return out
 
 
@@ -115,7 +116,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             if len(first):
                 signs[i, doc[first]] = np.add.reduceat(mix(hashes + np.uint64(i + 1)), first)
         rows = registers(doc, hashes, len(part))
-        bits = np.packbits(rows & 1, axis=1).view(np.int64)
+        bits = np.packbits((rows & 1).astype(np.uint8), axis=1).view(np.int64)
         return {
             "doc_id": part.batch.column(0), "n_shingles": n.astype(np.int64), "s1": signs[0].view(np.int64), "s2": signs[1].view(np.int64),
             "registers": pa.array([r.tobytes() for r in rows], pa.binary()), "bits1": np.ascontiguousarray(bits[:, 0]), "bits2": np.ascontiguousarray(bits[:, 1]),
@@ -137,7 +138,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            matrix = [np.frombuffer(_bytes_of(batch.column(i))[0], np.uint8).reshape(-1, REGISTERS) for i in (4, 5)]
+            matrix = [np.frombuffer(_bytes_of(batch.column(i))[0], np.uint16).reshape(-1, REGISTERS) for i in (4, 5)]
             for first in range(0, batch.num_rows, 4096):
                 part = slice(first, first + 4096)
                 sizes = [batch.column(i).to_numpy()[part].astype(np.float64) for i in (2, 3)]
@@ -177,7 +178,7 @@ def _links_within(members: list[tuple], paired: bool) -> list[tuple[int, int]]:
     between the sides are looked for.
     """
     sides, reps, labels, n = (np.array([m[i] for m in members], np.int64) for i in range(4))
-    bands = np.frombuffer(b"".join(m[4] for m in members), np.uint32).reshape(len(members), BANDS)
+    bands = np.frombuffer(b"".join(m[4] for m in members), np.uint64).reshape(len(members), BANDS)  # four registers of 16 bits each
     texts = [m[5] for m in members]
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     owner, ids = [], []
@@ -257,7 +258,7 @@ def _near_forest(members: list[tuple], paired: bool) -> list[tuple[int, int]]:
     members: (side, rep, component, n, registers).
     """
     sides, reps, parts, n = (np.array([m[i] for m in members], np.int64) for i in range(4))
-    rows = np.frombuffer(b"".join(m[4] for m in members), np.uint8).reshape(len(members), REGISTERS)
+    rows = np.frombuffer(b"".join(m[4] for m in members), np.uint16).reshape(len(members), REGISTERS)
     labels, out = np.arange(len(members)), []
     for i in range(len(members) - 1):
         later = slice(i + 1, None)
@@ -307,7 +308,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     real = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("s1", "s2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("registers", "bits1", "bits2")))
     classes = written(classes, "classes")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * ROWS + 1, F.lit(ROWS))))).alias("key")
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("key")
     members = classes.where("n >= 3").select(band, "rep", "n", "bits1", "bits2")  # smaller sets are linked only to equal ones
     heads = members.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("size")).where("size > 1")
     shared = written(members.join(heads, "key").select("key", "rep", "n", "bits1", "bits2", "head"), "buckets")
