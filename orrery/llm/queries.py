@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
-from .lines import LINE_REPORT_SQL
+from .sql import ORACLE_SQL  # noqa: F401
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,3 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_benchmark_decontamination, op3_toxicity, op4_minhash_near_dedup, op5_quality_classifier, op6_substring_dedup, op7_line_dedup, op8_license_scan, op9_quality_rules, op10_bpe_round_trip)}
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": LINE_REPORT_SQL}
