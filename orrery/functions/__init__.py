@@ -1,0 +1 @@
+"""Types and functions of the dialect, as Spark SQL text."""

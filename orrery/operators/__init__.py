@@ -1,0 +1 @@
+"""Operators on tables: DML and column aggregates."""

@@ -1,0 +1 @@
+"""Paged delivery of rows from a pinned snapshot."""
