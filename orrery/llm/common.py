@@ -199,12 +199,14 @@ def map_slices(df: DataFrame, schema: str, work: Callable[[Slice], dict | pa.Rec
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors reach; set to a folder here only where it is unset (tests)."""
+    """A new folder below spark.checkpoint.dir, which all executors reach; set here only where it is unset and all runs in one process (tests)."""
     import tempfile
     import uuid
 
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="orrery-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
