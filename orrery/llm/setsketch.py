@@ -7,9 +7,8 @@ alike two sets are. Documents of equal sets are one class. Bands of registers pu
 pairs from a bucket are estimated by the joint likelihood of their registers, given both set sizes,
 and what may reach the threshold is verified on the full sets.
 
-Pairs are not all pairs of a bucket. First each member meets the bucket's smallest one, next a member
-drawn at random in each bucket that still holds several components. Where several components share
-a bucket after that, its members' registers are compared in one task, which gives away only a forest
+Pairs are not all pairs of a bucket. First each member meets the bucket's smallest one. Where several
+components share a bucket after that, its members' registers are compared in one task, which gives away only a forest
 of the pairs that are near enough. The trees are clusters; the texts of a cluster are brought together
 once, its members are compared on their full sets by one membership array for each of them, and only
 new links leave the task. A bucket or cluster too large for a task is cut into blocks, and each pair
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, LOWER, SPACE, Slice, _bytes_of, _table, doc_texts, map_slices, mix, prefix_hash, span_hash, words_of, written
+from .common import BYTE_VALUES, LOWER, SPACE, Slice, _bytes_of, _table, discard, doc_texts, map_slices, mix, prefix_hash, span_hash, words_of, written
 
 ROWS, BANDS = 4, 32
 REGISTERS = ROWS * BANDS
@@ -33,8 +32,6 @@ BASE = 1.01
 SHINGLE = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Two sketches whose registers' last bits differ in more places are not compared: for sets at the threshold that is six standard deviations.
-FAR_BITS = 38
 #: Shingles in one block of a cluster, and members in one block of a bucket.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 400_000, 4096
 #: Sets at the threshold have as many equal registers or more: five and a half standard deviations below what is expected.
@@ -101,11 +98,11 @@ def jaccard_likelihood(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.nd
     return estimate[:, 0], np.where(estimate < at, lost, 0)[:, 0]
 
 
-SKETCHES = "doc_id long, n_shingles long, s1 long, s2 long, registers binary, bits1 long, bits2 long"
+SKETCHES = "doc_id long, n_shingles long, s1 long, s2 long, registers binary"
 
 
 def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One sketch for each row: set size, a 128-bit signature of the set, registers and the last bit of each."""
+    """One sketch for each row: set size, a 128-bit signature of the set, registers."""
 
     def work(part: Slice) -> dict:
         doc, hashes = shingle_sets(part.data, part.offsets)
@@ -116,10 +113,9 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             if len(first):
                 signs[i, doc[first]] = np.add.reduceat(mix(hashes + np.uint64(i + 1)), first)
         rows = registers(doc, hashes, len(part))
-        bits = np.packbits((rows & 1).astype(np.uint8), axis=1).view(np.int64)
         return {
             "doc_id": part.batch.column(0), "n_shingles": n.astype(np.int64), "s1": signs[0].view(np.int64), "s2": signs[1].view(np.int64),
-            "registers": pa.array([r.tobytes() for r in rows], pa.binary()), "bits1": np.ascontiguousarray(bits[:, 0]), "bits2": np.ascontiguousarray(bits[:, 1]),
+            "registers": pa.array([r.tobytes() for r in rows], pa.binary()),
         }
 
     return map_slices(doc_texts(df, id_col, text_col), SKETCHES, work)
@@ -306,32 +302,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = doc_texts(df, id_col, text_col)
     sketch = written(sketches(docs), "sketches")
     real = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("s1", "s2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("registers", "bits1", "bits2")))
+    classes = real.groupBy("s1", "s2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
     classes = written(classes, "classes")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("key")
-    members = classes.where("n >= 3").select(band, "rep", "n", "bits1", "bits2")  # smaller sets are linked only to equal ones
+    members = classes.where("n >= 3").select(band, "rep")  # smaller sets are linked only to equal ones
     heads = members.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("size")).where("size > 1")
-    shared = written(members.join(heads, "key").select("key", "rep", "n", "bits1", "bits2", "head"), "buckets")
+    shared = written(members.join(heads, "key").select("key", "rep", "head"), "buckets")
     tried = written(shared.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = written(_verified(_estimated(tried, classes), docs), "links")
 
-    def still_open() -> DataFrame:
-        """The members of buckets that hold several components, with one member of each bucket drawn at random."""
-        if links.isEmpty():
-            part = shared.withColumn("component", F.col("rep"))
-        else:
-            part = shared.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = part.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("rep", "component", "n", "bits1", "bits2"), F.xxhash64("rep", "key")).alias("drawn")).where("lo <> hi")
-        return written(part.join(mixed.select("key", "drawn"), "key").select("key", "rep", "component", "n", "bits1", "bits2", "drawn"), "open")
-
-    near = (F.bit_count(F.col("bits1").bitwiseXOR(F.col("drawn.bits1"))) + F.bit_count(F.col("bits2").bitwiseXOR(F.col("drawn.bits2"))) <= FAR_BITS) & _near_sizes("n", "drawn.n")
-    again = still_open().where((F.col("component") != F.col("drawn.component")) & near).select(F.least("rep", "drawn.rep").alias("a"), F.greatest("rep", "drawn.rep").alias("b")).distinct()
-    again = written(again.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not again.isEmpty():
-        links = links.union(written(_verified(_estimated(again, classes), docs), "links"))
-    left = still_open()
+    if links.isEmpty():
+        part = shared.withColumn("component", F.col("rep"))
+    else:
+        part = shared.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = part.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    left = written(part.join(mixed, "key", "left_semi").select("key", "rep", "component"), "open")
+    discard(shared)
     if not left.isEmpty():
-        links = links.union(written(_cluster_links(left.select("key", "rep", "component"), classes, docs), "links"))
+        links = links.union(written(_cluster_links(left, classes, docs), "links"))
     found = components(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     member = real.select("doc_id", "s1", "s2", "n_shingles").join(classes.select("s1", "s2", F.col("n").alias("n_shingles"), "rep"), ["s1", "s2", "n_shingles"])
     # a class of a later text of an id ties its members to that id's other texts, through the representative or through the id itself
