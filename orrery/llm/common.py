@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 #: Bytes of text that one slice holds; a longer document makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows that Spark hands over at a time, unless the session says otherwise: its default of 10,000 whole texts takes much memory on both sides.
+BATCH_ROWS = 1024
 SLICE_ROWS = 4096
 
 _R = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
@@ -185,6 +187,14 @@ def lists_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands BATCH_ROWS rows to Python at a time where nothing else is set."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def map_slices(df: DataFrame, schema: str, work: Callable[[Slice], dict | pa.RecordBatch | None], text: int = 1, max_bytes: int = SLICE_BYTES) -> DataFrame:
     """Runs work on each slice; work returns the columns of its rows, as arrays in the schema's order."""
     names = [x.name for x in df.sparkSession.createDataFrame([], schema).schema.fields]
@@ -195,7 +205,7 @@ def map_slices(df: DataFrame, schema: str, work: Callable[[Slice], dict | pa.Rec
             if out is not None:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in out.values()], names)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -236,4 +246,4 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 def doc_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator reads, whatever else the table holds."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, BYTE_VALUES, LOWER, Slice, doc_texts, map_slices, prefix_hash, slices, span_hash, words_of
+from .common import ALNUM, BYTE_VALUES, LOWER, Slice, doc_texts, map_slices, prefix_hash, slices, small_batches, span_hash, words_of
 
 SAMPLE = 8
 #: Bytes of benchmark text in one block. A block is what one pass over the documents is searched for.
@@ -310,4 +310,4 @@ def _cut(df: DataFrame, windows: Windows, text_col: str) -> DataFrame:
             else:
                 yield part.batch
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)

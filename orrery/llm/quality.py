@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, SPACE, Slice, doc_texts, map_slices, mix, prefix_hash, slices, span_hash, words_of
+from .common import BYTE_VALUES, SPACE, Slice, doc_texts, map_slices, mix, prefix_hash, slices, small_batches, span_hash, words_of
 
 LABELLERS = ("symbols", "capitals", "repeats", "exclamations", "word_length", "sentences", "bars", "variety", "odd_bytes", "plain_words")
 BITS = 15
@@ -244,4 +244,4 @@ def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
             p = sent.value.score(*features(parsed, part.data, len(part)), len(part))
             yield part.batch.filter(pa.array(p >= threshold))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)

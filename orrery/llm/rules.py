@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, LOWER, SPACE, Slice, char_count, mix, prefix_hash, slices, span_hash, window_hash, words_of
+from .common import BYTE_VALUES, LOWER, SPACE, Slice, char_count, mix, prefix_hash, slices, small_batches, span_hash, window_hash, words_of
 
 #: Distances (square root of the divergence in bits) above which a text is not kept.
 CHAR_LIMIT, WORD_LIMIT = 0.3, 0.5
@@ -146,7 +146,7 @@ def distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 
 def references(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
     """Histograms by language, of all documents that pass the base rules; None has those of all languages."""
-    docs = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    docs = small_batches(df).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     width = CLASSES + len(WORDS) + 1
 
     def gather(batches):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, Slice, anchors, discard, lists_of, map_slices, mix, prefix_hash, slices, span_hash, written
+from .common import BYTE_VALUES, Slice, anchors, discard, lists_of, map_slices, mix, prefix_hash, slices, small_batches, span_hash, written
 
 WIDTH, GRAM = 400, 64
 HOT = 4096
@@ -237,7 +237,7 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are told apart by their texts, so ids may be null or repeated; repeated rows repeat each other's
     strings and lose all of a text of width bytes or more.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumns({"k1": F.xxhash64("text"), "k2": F.hash("text")})
     found = repeated_runs(docs, width)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
