@@ -222,13 +222,14 @@ class Engine:
 
     def cancellable(self, tag: str) -> None:
         """Jobs that this thread starts from now on end when cancel(tag) is called from another."""
+        context = self.spark.sparkContext
         if self._tag:
-            self.spark.removeTag(self._tag)
+            context.removeJobTag(self._tag)
         self._tag = tag
-        self.spark.addTag(tag)
+        context.addJobTag(tag)
 
     def cancel(self, tag: str) -> None:
-        self.spark.interruptTag(tag)
+        self.spark.sparkContext.cancelJobsWithTag(tag)
 
     # tables
     def table(self, name: str, schema: str = "dbo") -> DataFrame:
@@ -326,7 +327,7 @@ class _Run:
         except SqlError as e:
             out = QueryResult(success=False, message=str(e))
         except Exception as e:  # what Spark says of a query
-            if "CANCELLED" in str(e) or "cancelled" in str(e):
+            if "JOB_CANCELLED" in str(e) or "cancelled job tag" in str(e):
                 raise
             out = QueryResult(success=False, message=str(e).split("\n\nJVM stacktrace")[0])
         out.statement = statement.text
