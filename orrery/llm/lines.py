@@ -1,8 +1,9 @@
-"""Line dedup by a log-template tree, in DataFrame functions only.
+"""Line dedup by masked lines, in DataFrame functions only.
 
-A line is parsed to a fixed depth: its number of tokens, its leading tokens, and below them the rest
-of the line; at every depth a token that holds a digit, an at sign or a slash is a variable field and
-becomes a wildcard. Lines that end at the same leaf are one template, whatever their fields say.
+A token that holds a digit, an at sign or a slash is a variable field and becomes a wildcard. Lines
+whose masked tokens are all equal are one template. This is exact matching: it stands in for a
+log-template tree, which would also generalise fields of letters by token count and leading tokens,
+because the SQL below identifies a template by its whole masked line.
 
 A template recurs if it is found in min_docs documents or more and stands in ever new surroundings:
 at least every second occurrence has another pair of neighbouring templates. Boilerplate does that;
@@ -24,7 +25,7 @@ MIN_DOCS = 3
 
 
 def template(line: Column) -> Column:
-    """Hash of the line's path through the tree: token count, DEPTH leading tokens, the rest. 0 for a line without tokens."""
+    """Hash of the line's masked tokens, of all of them: how they are split at DEPTH decides nothing. 0 for a line without tokens."""
     masked = F.when(line.rlike("[0-9@/]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
     tokens = F.filter(F.split(masked, f"{BLANK}+"), lambda t: t != "")
     path = lambda t: F.xxhash64(F.size(t), F.slice(t, 1, DEPTH), F.slice(t, DEPTH + 1, F.greatest(F.size(t), F.lit(1))))
