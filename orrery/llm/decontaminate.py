@@ -12,18 +12,21 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, BYTE_VALUES, LOWER, Slice, doc_texts, map_slices, prefix_hash, slices, small_batches, span_hash, words_of
+from .common import ALNUM, BYTE_VALUES, LOWER, Slice, doc_texts, prefix_hash, slices, small_batches, span_hash, words_of
 
 SAMPLE = 8
-#: Bytes of benchmark text in one block. A block is what one pass over the documents is searched for.
+#: Bytes of benchmark text in one block, and of texts that are searched for one block after the other where there are several.
 BLOCK_BYTES = 16 << 20
+GROUP_BYTES = 16 << 20
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -197,11 +200,48 @@ def spans_in(marked: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1)
 
 
-def _blocks(bench: DataFrame, block_bytes: int) -> list[list]:
-    """Groups of hash values of item ids whose texts have block_bytes together, about."""
+def _blocks(bench: DataFrame, width: int, item_col: str, item_text_col: str, block_bytes: int) -> list[Broadcast]:
+    """The windows of groups of items (by a hash of their ids) whose texts have block_bytes together, about; a broadcast for each group."""
+    bench = bench.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // block_bytes))
-    return [(i, n) for i in range(n)]
+    n, out = max(1, -(-int(total) // block_bytes)), []
+    for i in range(n):
+        rows = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i).collect()]  # a block of bounded size
+        out.append(bench.sparkSession.sparkContext.broadcast(Windows.of([r for r in rows if r[0] is not None], width)))
+    return out
+
+
+def _searched(batches: Iterable[pa.RecordBatch], text: int, blocks: list[Broadcast]) -> Iterator[tuple[Slice, tuple, np.ndarray | None, dict[int, set]]]:
+    """Each slice with its parsed words, which of them stand in windows of any block (None for none of them), and the items by document.
+
+    All blocks are searched for in the texts as they were given. Of several blocks one at a time is held, for GROUP_BYTES of texts.
+    """
+
+    def search(group: list[Slice]):
+        parsed = [hashed_words(part) for part in group]
+        marked: list[np.ndarray | None] = [None] * len(group)
+        found: list[dict[int, set]] = [defaultdict(set) for _ in group]
+        for block in blocks:
+            windows = block.value
+            for k, (hashes, bounds, _, _) in enumerate(parsed):
+                at, which = occurrences(hashes, bounds, windows)
+                if len(at):
+                    own = covered(at, windows.sizes[which], len(hashes))
+                    marked[k] = own if marked[k] is None else marked[k] | own
+                    for d, w in {*zip((np.searchsorted(bounds, at, "right") - 1).tolist(), which.tolist())}:
+                        found[k][d].update(windows.items[w])
+            if len(blocks) > 1 and block._path is not None:
+                del windows, block._value  # read again from the worker's file
+        yield from zip(group, parsed, marked, found)
+
+    group, size = [], 0
+    for part in slices(batches, text):
+        group.append(part)
+        size += len(part.data)
+        if len(blocks) == 1 or size >= GROUP_BYTES:
+            yield from search(group)
+            group, size = [], 0
+    yield from search(group)
 
 
 SPANS = "doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
@@ -212,55 +252,21 @@ def contaminated_spans(df: DataFrame, bench: DataFrame, width: int = 10, id_col:
 
     An item of fewer words than width is one window, an item without words has none. Null texts have
     no words; repeated ids are repeated rows. A benchmark of more than block_bytes is searched for in
-    blocks, each over all documents, and the blocks' spans are merged: no item is left out.
+    blocks, and the blocks' spans are merged in each row: no item is left out.
     """
-    docs = doc_texts(df, id_col, text_col)
-    bench = bench.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
-    blocks = _blocks(bench, block_bytes)
+    blocks = _blocks(bench, width, item_col, item_text_col, block_bytes)
 
-    def searched(i: int, n: int) -> DataFrame:
-        rows = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i).collect()]  # a block of bounded size
-        sent = docs.sparkSession.sparkContext.broadcast(Windows.of([r for r in rows if r[0] is not None], width))
-
-        def work(part: Slice) -> dict:
-            windows = sent.value
-            hashes, bounds, _, _ = hashed_words(part)
-            at, which = occurrences(hashes, bounds, windows)
-            marked = covered(at, windows.sizes[which], len(hashes)) if len(at) else None
-            found: dict[int, set] = defaultdict(set)
-            for d, w in {*zip((np.searchsorted(bounds, at, "right") - 1).tolist(), which.tolist())}:
-                found[d].update(windows.items[w])
+    def run(batches):
+        for part, (_, bounds, _, _), marked, found in _searched(batches, 1, blocks):
             spans = [spans_in(marked[bounds[d] : bounds[d + 1]]).tolist() if d in found else [] for d in range(len(part))]
-            return {
-                "doc_id": part.batch.column(0), "n_words": pa.array(np.diff(bounds), pa.int64()),
-                "starts": pa.array([[a for a, _ in s] for s in spans], pa.list_(pa.int32())), "ends": pa.array([[b for _, b in s] for s in spans], pa.list_(pa.int32())),
-                "items": pa.array([sorted(found[d]) if d in found else [] for d in range(len(part))], pa.list_(pa.string())),
-            }
-
-        return map_slices(docs, SPANS, work)
-
-    if len(blocks) == 1:
-        return searched(*blocks[0])
-    found = searched(*blocks[0])
-    for b in blocks[1:]:
-        found = found.unionByName(searched(*b))
-    key = ["doc_id", "n_words"]
-    merged = found.groupBy(*key).agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("n"))
-
-    def join(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                spans: list[list[int]] = []
-                for a, e in sorted(zip(r["starts"], r["ends"])):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(e, spans[-1][1])
-                    else:
-                        spans.append([a, e])
-                row = {"doc_id": r["doc_id"], "n_words": r["n_words"], "starts": [a for a, _ in spans], "ends": [e for _, e in spans], "items": r["items"]}
-                for _ in range(max(1, r["n"] // len(blocks))):  # repeated ids stay repeated
-                    yield pa.RecordBatch.from_pylist([row], pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]))
-
-    return merged.mapInArrow(join, SPANS)
+            columns = [
+                part.batch.column(0), pa.array(np.diff(bounds), pa.int64()),
+                pa.array([[a for a, _ in s] for s in spans], pa.list_(pa.int32())), pa.array([[b for _, b in s] for s in spans], pa.list_(pa.int32())),
+                pa.array([sorted(found[d]) if d in found else [] for d in range(len(part))], pa.list_(pa.string())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SPANS.split(", ")])
+
+    return doc_texts(df, id_col, text_col).mapInArrow(run, SPANS)
 
 
 def contamination_report(df: DataFrame, bench: DataFrame, width: int = 10, **columns) -> DataFrame:
@@ -276,28 +282,17 @@ def contamination_report(df: DataFrame, bench: DataFrame, width: int = 10, **col
 def remove_contamination(df: DataFrame, bench: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The table with each span cut from its text, from the span's first word to its last; all other columns as they are.
 
-    A document without hits keeps its text unchanged, null included. Only for a benchmark of one
-    block (block_bytes); a larger one is cut block by block, each on what the last has left.
+    A document without hits keeps its text unchanged, null included. The spans of all blocks of a
+    benchmark over block_bytes are found in the given text, merged, and cut at once.
     """
-    bench = bench.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
-    for i, n in _blocks(bench, block_bytes):
-        rows = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i).collect()]
-        df = _cut(df, Windows.of([r for r in rows if r[0] is not None], width), text_col)
-    return df
-
-
-def _cut(df: DataFrame, windows: Windows, text_col: str) -> DataFrame:
-    sent, place, schema = df.sparkSession.sparkContext.broadcast(windows), df.columns.index(text_col), df.schema
+    blocks = _blocks(bench, width, item_col, item_text_col, block_bytes)
+    place, schema = df.columns.index(text_col), df.schema
 
     def run(batches):
-        windows = sent.value
-        for part in slices(batches, place):
-            hashes, bounds, starts, ends = hashed_words(part)
-            at, which = occurrences(hashes, bounds, windows)
-            if len(at):
-                marked = covered(at, windows.sizes[which], len(hashes))
+        for part, (_, bounds, starts, ends), marked, found in _searched(batches, place, blocks):
+            if marked is not None:
                 texts = part.batch.column(place).to_pylist()
-                for d in np.unique(np.searchsorted(bounds, at, "right") - 1).tolist():
+                for d in sorted(found):
                     base, raw = part.offsets[d], part.data[part.offsets[d] : part.offsets[d + 1]].tobytes()
                     out, last = [], 0
                     for a, b in spans_in(marked[bounds[d] : bounds[d + 1]]).tolist():

@@ -127,6 +127,22 @@ def test_decontamination_in_blocks(spark, corpus):
     same_rows(got, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"], [(i, *e[:4]) for (i, _), e in zip(corpus, expected)])
 
 
+def test_blocks_cut_as_one_block(spark):
+    """Windows of items in different blocks overlap: cutting one block first would leave a part too short for the other."""
+    from orrery.llm.decontaminate import contamination_report, remove_contamination
+
+    r = random.Random(21)
+    w = [f"{word(r)}{i}" for i in range(60)]
+    items = [(i, " ".join(w[4 * i : 4 * i + 12])) for i in range(10)]  # each overlaps the next two
+    rows = [(1, "before " + " ".join(w[:48]) + " behind"), (2, "clean words"), (2, "clean words"), (3, None), (4, " ".join(w[4:16])), (4, "other words " * 6)]
+    bench = spark.createDataFrame(items, "item_id LONG, text STRING")
+    for block_bytes in (1 << 20, 200, 60):
+        left = remove_contamination(table(spark, rows), bench, block_bytes=block_bytes)
+        same_rows(left, ["doc_id", "text"], [(1, "before  behind"), *rows[1:4], (4, ""), rows[5]])
+        expected = plain.decontaminate([t for _, t in rows], items)
+        same_rows(contamination_report(table(spark, rows), bench, block_bytes=block_bytes), ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"], [(i, *e[:4]) for (i, _), e in zip(rows, expected)])
+
+
 def test_fm_index_finds_and_locates():
     from orrery.llm.decontaminate import FmIndex
 
