@@ -201,13 +201,13 @@ def spans_in(marked: np.ndarray) -> np.ndarray:
 
 
 def _blocks(bench: DataFrame, width: int, item_col: str, item_text_col: str, block_bytes: int) -> list[Broadcast]:
-    """The windows of groups of items (by a hash of their ids) whose texts have block_bytes together, about; a broadcast for each group."""
+    """The windows of groups of items (by a hash of id and text) whose texts have block_bytes together, about; a broadcast for each group."""
     bench = bench.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n, out = max(1, -(-int(total) // block_bytes)), []
     for i in range(n):
-        rows = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i).collect()]  # a block of bounded size
-        out.append(bench.sparkSession.sparkContext.broadcast(Windows.of([r for r in rows if r[0] is not None], width)))
+        rows = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()]  # a block of bounded size
+        out.append(bench.sparkSession.sparkContext.broadcast(Windows.of(rows, width)))
     return out
 
 
@@ -250,8 +250,9 @@ SPANS = "doc_id long, n_words long, starts array<int>, ends array<int>, items ar
 def contaminated_spans(df: DataFrame, bench: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document: its number of words, the merged spans of words to remove, and the items found (as text).
 
-    An item of fewer words than width is one window, an item without words has none. Null texts have
-    no words; repeated ids are repeated rows. A benchmark of more than block_bytes is searched for in
+    An item of fewer words than width is one window, an item without words has none. Items without an
+    id are searched for like any other, and are together one null among the items. Null texts have no
+    words; repeated ids are repeated rows. A benchmark of more than block_bytes is searched for in
     blocks, and the blocks' spans are merged in each row: no item is left out.
     """
     blocks = _blocks(bench, width, item_col, item_text_col, block_bytes)
@@ -262,7 +263,7 @@ def contaminated_spans(df: DataFrame, bench: DataFrame, width: int = 10, id_col:
             columns = [
                 part.batch.column(0), pa.array(np.diff(bounds), pa.int64()),
                 pa.array([[a for a, _ in s] for s in spans], pa.list_(pa.int32())), pa.array([[b for _, b in s] for s in spans], pa.list_(pa.int32())),
-                pa.array([sorted(found[d]) if d in found else [] for d in range(len(part))], pa.list_(pa.string())),
+                pa.array([sorted(found[d], key=lambda x: (x is None, x or "")) if d in found else [] for d in range(len(part))], pa.list_(pa.string())),
             ]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SPANS.split(", ")])
 
@@ -270,7 +271,10 @@ def contaminated_spans(df: DataFrame, bench: DataFrame, width: int = 10, id_col:
 
 
 def contamination_report(df: DataFrame, bench: DataFrame, width: int = 10, **columns) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, from the merged spans."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, from the merged spans.
+
+    All items without an id count as one in n_items, and items_sha256 leaves them out.
+    """
     spans = contaminated_spans(df, bench, width, **columns)
     n_hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return spans.select(

@@ -143,6 +143,29 @@ def test_blocks_cut_as_one_block(spark):
         same_rows(contamination_report(table(spark, rows), bench, block_bytes=block_bytes), ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"], [(i, *e[:4]) for (i, _), e in zip(rows, expected)])
 
 
+def test_items_without_an_id(spark):
+    import duckdb
+
+    from orrery.llm.decontaminate import contamination_report, remove_contamination
+    from orrery.llm.sql import DECONTAMINATION
+
+    r = random.Random(22)
+    w = [f"{word(r)}{i}" for i in range(40)]
+    items = [(None, " ".join(w[:14])), (None, " ".join(w[20:31])), (7, " ".join(w[8:20])), (8, "not there")]
+    rows = [(1, " ".join(w)), (2, "clean words"), (3, " ".join(w[20:32])), (4, " ".join(w[6:20])), (5, None)]
+    docs, bench = table(spark, rows), spark.createDataFrame(items, "item_id LONG, text STRING")
+    con = duckdb.connect()
+    for name, df in (("documents", docs.select("doc_id", "text")), ("benchmark", bench)):
+        con.register(name, df.toArrow())
+    expected = con.sql(DECONTAMINATION).fetchall()
+    assert sorted(e[:4] for e in expected) == [(1, 40, 31, 2), (2, 2, 0, 0), (3, 12, 11, 1), (4, 14, 12, 1), (5, 0, 0, 0)]
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    for block_bytes in (1 << 20, 100):
+        same_rows(contamination_report(docs, bench, block_bytes=block_bytes), columns, expected)
+        left = {x.doc_id: x.text for x in remove_contamination(docs, bench, block_bytes=block_bytes).collect()}
+        assert left[1].split() == w[31:] and left[3].split() == w[31:32] and left[4].split() == w[6:8]
+
+
 def test_fm_index_finds_and_locates():
     from orrery.llm.decontaminate import FmIndex
 
