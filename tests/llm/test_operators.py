@@ -356,6 +356,28 @@ def test_license_scan(spark, odd):
         assert row.dice == pytest.approx(best[0]) and best_templates is not None
 
 
+def test_licenses_within_longer_texts(spark):
+    from orrery.llm.licenses import TEXTS, license_scan
+
+    r = random.Random(12)
+    around = lambda t, gap="\n": f"{prose(r, 300)}{gap}{t}{gap}{prose(r, 400)}"
+    apart = TEXTS["MIT"].replace("\n", "\n\n")
+    wrapped = "\n".join(" ".join(TEXTS["ISC"].split()[i : i + 9]) for i in range(0, 200, 9))
+    texts = {
+        1: (around(apart), "MIT", 1.0), 2: (around(wrapped), "ISC", 1.0), 3: (around("This article is licensed under the MIT License, as is", " "), "MIT", 1.0),
+        4: (around(TEXTS["BSD-3-Clause"].replace("\n", "\n\n"), " "), "BSD-3-Clause", 1.0), 5: (around(TEXTS["GPL-2.0"].replace("\n", "\n\n"), " "), "GPL-2.0", 1.0),
+        6: (around(apart.replace("sublicense, and/or sell", "and sell").replace("AUTHORS OR", "AUTHORS, EDITORS OR THE")), "MIT", None),
+    }
+    clean = {10: around("This work is licensed under the Foo License of ours", " "), 11: around("This program is licensed under the terms of the house rules", " "), 12: around(" ".join(apart.split()[:60]), " "), 13: "mit license " * 5000, 14: around("on the Creative Commons Attribution 4.0 International License we wrote", " ")}
+    rows = [(i, x[0]) for i, x in texts.items()] + list(clean.items())
+    got = {g.doc_id: g for g in license_scan(table(spark, rows)).collect()}
+    for i, (_, name, dice) in texts.items():
+        assert (got[i].license, got[i].n_units) == (name, 1) and (got[i].dice == dice if dice else 0.9 < got[i].dice < 1), got[i]
+    assert all(got[i].license is None and got[i].n_units == 0 for i in clean), [got[i] for i in clean]
+    twice = license_scan(table(spark, [(1, around(apart) + "\n\n" + around(wrapped))])).first()
+    assert twice.licenses == ["ISC", "MIT"] and twice.n_units == 2
+
+
 # op9
 def test_quality_rules(spark, odd):
     from orrery.llm.rules import quality_rules
