@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, LOWER, SPACE, Slice, char_count, mix, prefix_hash, slices, small_batches, span_hash, window_hash, words_of
+from .common import BYTE_VALUES, LOWER, SPACE, Slice, char_count, discard, lists_of, mix, prefix_hash, slices, small_batches, span_hash, window_hash, words_of, written
 
 #: Distances (square root of the divergence in bits) above which a text is not kept.
 CHAR_LIMIT, WORD_LIMIT = 0.3, 0.5
 MIN_CHARS, MIN_WORDS = 200, 50
-#: Words of text below which a language has no reference of its own, and languages that have one at most.
-LANGUAGE_WORDS, LANGUAGES = 2000, 256
+#: Words of text below which a language has no reference of its own.
+LANGUAGE_WORDS = 2000
 
 # Common words by language.
 COMMON = {
@@ -144,8 +144,12 @@ def distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where((total[:, 0] > 0) & (base[:, 0] > 0), np.sqrt(np.maximum(bits, 0) / 2), 0.0)
 
 
-def references(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """Histograms by language, of all documents that pass the base rules; None has those of all languages."""
+def references(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, np.ndarray]:
+    """A table (lang, reference) of all languages with LANGUAGE_WORDS, and the histogram of all languages; of all documents that pass the base rules.
+
+    A reference has the character classes and then the words. The table is kept in the shared folder,
+    so that its size is known to the joins with it.
+    """
     docs = small_batches(df).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     width = CLASSES + len(WORDS) + 1
 
@@ -159,18 +163,20 @@ def references(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 sums = both[group == g].sum(0)
                 yield pa.RecordBatch.from_arrays([pa.array([codes.dictionary[g].as_py()] * width, pa.string()), pa.array(range(width), pa.int32()), pa.array(sums, pa.int64())], ["lang", "bin", "n"])
 
-    sums = docs.mapInArrow(gather, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    everything = {r.bin: r.n for r in sums.groupBy("bin").agg(F.sum("n").alias("n")).collect()}
-    words = F.sum(F.when(F.col("bin") >= CLASSES, F.col("n"))).alias("words")
-    large = sums.groupBy("lang").agg(words).where((F.col("words") >= LANGUAGE_WORDS) & (F.col("lang") != "")).orderBy(F.desc("words"), "lang").limit(LANGUAGES)
-    out: dict[str | None, np.ndarray] = {None: np.array([everything.get(i, 0) for i in range(width)], np.float64)}
-    for r in sums.join(F.broadcast(large), "lang").collect():  # LANGUAGES x width rows at most
-        out.setdefault(r.lang, np.zeros(width))[r.bin] = r.n
-    return {k: (v[:CLASSES], v[CLASSES:]) for k, v in out.items()}
+    sums = written(docs.mapInArrow(gather, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")), "language-sums")
+    everything = {r.bin: r.n for r in sums.groupBy("bin").agg(F.sum("n").alias("n")).collect()}  # width rows
+    own = sums.where("lang <> ''").groupBy("lang").agg(F.sum(F.when(F.col("bin") >= CLASSES, F.col("n"))).alias("words"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("found"))
+    found = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("found", i), F.lit(0)).cast("double"))
+    out = written(own.where(F.col("words") >= LANGUAGE_WORDS).select("lang", found.alias("reference")), "language-references")
+    discard(sums)
+    return out, np.array([everything.get(i, 0) for i in range(width)], np.float64)
 
 
 RULES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean"
 
+COUNTED = RULES[: RULES.index(", char_distance")] + ", lang string, histogram array<int>"
+COUNTED_NAMES = [x.split()[0] for x in COUNTED.split(", ")]
+
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
     """The base counts, the two distances, and kept: base passed and both distances within their limits.
@@ -180,20 +186,32 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     or unknown language is compared with all languages together. Null and repeated ids are rows like
     any other, an empty table gives none.
     """
-    sent = df.sparkSession.sparkContext.broadcast(references(df, id_col, text_col, lang_col))  # LANGUAGES + 1 histograms
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    known, everything = references(df, id_col, text_col, lang_col)
+    docs = small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    width = CLASSES + len(WORDS) + 1
 
     def run(batches):
-        known = sent.value
         for part in slices(batches, 1):
             found = count(part)
-            langs = [x if x in known else None for x in part.batch.column(2).to_pylist()]
-            char = distance(found.chars, np.stack([known[x][0] for x in langs]))
-            word = distance(found.words, np.stack([known[x][1] for x in langs]))
-            char[found.chars.sum(1) < MIN_CHARS] = 0
-            word[found.n_words < MIN_WORDS] = 0
-            failed = found.failed
-            columns = [part.batch.column(0), found.n_words, found.word_chars, found.n_symbols, found.n_dup_lines, found.n_repeat_words, failed, char, word, ~failed & (char <= char_limit) & (word <= word_limit)]
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], [x.split()[0] for x in RULES.split(", ")])
-
-    return docs.mapInArrow(run, RULES)
+            both = np.concatenate([found.chars, found.words], 1).astype(np.int32)
+            histogram = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * width), pa.array(both.ravel()))
+            columns = [part.batch.column(0), found.n_words, found.word_chars, found.n_symbols, found.n_dup_lines, found.n_repeat_words, found.failed, part.batch.column(2), histogram]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], COUNTED_NAMES)
+
+    def judge(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            counts = lists_of(b.column("histogram"))[0].reshape(-1, width)
+            values, bounds = lists_of(b.column("reference"))
+            reference = np.tile(everything, (b.num_rows, 1))
+            reference[np.diff(bounds) > 0] = values.reshape(-1, width)
+            char = distance(counts[:, :CLASSES], reference[:, :CLASSES])
+            word = distance(counts[:, CLASSES:], reference[:, CLASSES:])
+            char[counts[:, :CLASSES].sum(1) < MIN_CHARS] = 0
+            word[b.column("n_words").to_numpy() < MIN_WORDS] = 0
+            kept = ~b.column("base_failed").to_numpy(zero_copy_only=False) & (char <= char_limit) & (word <= word_limit)
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(char), pa.array(word), pa.array(kept)], [x.split()[0] for x in RULES.split(", ")])
+
+    counted = docs.mapInArrow(run, COUNTED).join(known, "lang", "left")  # broadcast or sorted, by the size of known
+    return counted.select(*COUNTED_NAMES[:7], "histogram", "reference").mapInArrow(judge, RULES)

@@ -387,6 +387,19 @@ def test_quality_rules(spark, odd):
     assert got.where("kept and base_failed").count() == 0
 
 
+def test_every_language_has_its_own_reference(spark):
+    """More languages than any fixed number: each has words of one letter of its own, and a text is near its own language only."""
+    from orrery.llm.rules import distance, quality_rules
+
+    r, n = random.Random(31), 300
+    alphabets = ["abcdefghijklm", "#$%&*<>|", "0123456789"]
+    texts = {i: [" ".join("".join(r.choice(alphabets[i % 3]) for _ in range(5)) for _ in range(520)) for _ in range(4)] for i in range(n)}
+    rows = [(4 * i + k, t, f"x{i}") for i, own in texts.items() for k, t in enumerate(own)] + [(5000, texts[1][0], "rare"), (5001, texts[1][0], None), (5002, texts[1][0], "")]
+    got = {g.doc_id: g for g in quality_rules(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING").repartition(4)).collect()}
+    assert len(got) == len(rows) and all(got[i].char_distance < 0.05 and got[i].kept for i in range(4 * n)) and distance is not None
+    assert got[5000].char_distance == got[5001].char_distance == got[5002].char_distance > 0.3
+
+
 def test_clean_documents_pass_the_rules(spark):
     from orrery.llm.rules import quality_rules
 
