@@ -1,7 +1,7 @@
 """Quality classifier by weak labels.
 
 Overlapping heuristic labellers vote bad, good or nothing on every document
-(those here know kinds of bad text, and are silent on all else). The counts of all vote
+(most of those here know a kind of bad text only; three also know marks of plain prose). The counts of all vote
 patterns over the whole corpus (at most 3**labellers of them) are what expectation-maximisation
 needs to estimate each labeller's accuracy without any true label. The posterior of a pattern is the
 soft label of its documents, and a bounded sample of them trains a linear scorer over hashed word
@@ -23,8 +23,8 @@ LABELLERS = ("symbols", "capitals", "repeats", "exclamations", "word_length", "s
 BITS = 15
 #: About so many documents train the scorer, chosen by a hash of their ids.
 SAMPLE = 4000
-#: Prior of a labeller's bad votes on good documents: their share, and its weight against the counts. Kinds of bad text
-#: exclude each other, so the counts alone would make the commonest kind one class and put the others with the good.
+#: Prior of a labeller's bad votes on good documents: their share, and its weight in documents, so that counts outweigh it.
+#: Kinds of bad text exclude each other; what keeps them in one class is that the votes for good go against all of them.
 FALSE_ALARM, ALARM_WEIGHT = 0.002, 50.0
 
 _SYMBOL, _UPPER, _LETTER, _BANG, _STOP, _BAR = (np.zeros(256, np.uint8) for _ in range(6))
@@ -83,11 +83,11 @@ def votes(part: Slice) -> tuple[np.ndarray, tuple]:
     put("repeats", (share["repeats"] > 0.3) & (n >= 8), never)
     put("exclamations", (share["exclamations"] > 0.08) & (n >= 5), never)
     put("word_length", (n >= 5) & ((length < 2) | (length > 14)), never)
-    put("sentences", (n >= 60) & (per_stop > 60), never)
+    put("sentences", (n >= 60) & (per_stop > 60), (n > 0) & (per_stop >= 4) & (per_stop <= 40))
     put("bars", share["bars"] > 0.04, never)
-    put("variety", (n >= 50) & (variety < 0.15 * np.sqrt(50 / some)), never)
+    put("variety", (n >= 50) & (variety < 0.15 * np.sqrt(50 / some)), (n > 0) & (variety > 0.5 * np.sqrt(50 / np.maximum(some, 50))))
     put("odd_bytes", (share["odd_bytes"] > 0.06) & (n >= 5), never)
-    put("plain_words", (share["plain_words"] < 0.7) & (n >= 5), never)
+    put("plain_words", (share["plain_words"] < 0.7) & (n >= 5), (n > 0) & (share["plain_words"] > 0.97))
     return out, (words, starts, ends, bounds, same)
 
 
@@ -127,7 +127,7 @@ def fit_labellers(matrix: np.ndarray, counts: np.ndarray, rounds: int = 100) ->
             for v in (-1, 0, 1):
                 table[j, :, v + 1] = weight[:, matrix[:, j] == v].sum(1) + 1.0
             other = table[j, 1, 1:] / table[j, 1, 1:].sum()
-            table[j, 1] += ALARM_WEIGHT * weight[1].sum() * np.array([FALSE_ALARM, *((1 - FALSE_ALARM) * other)])
+            table[j, 1] += ALARM_WEIGHT * np.array([FALSE_ALARM, *((1 - FALSE_ALARM) * other)])
         fit = WeakLabels(good, table / table.sum(2, keepdims=True))
         new = fit.posterior(matrix)
         if np.abs(new - p).max(initial=0) < 1e-6:
@@ -217,7 +217,7 @@ def fit_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """doc_id, n_votes, weak_label (posterior of the votes), quality (the scorer's P(good)), kept (quality >= threshold).
 
-    A null or empty text gets no votes: its weak label is the share of good documents and its quality
+    A null or empty text gets no votes: its weak label is what silence of all labellers says and its quality
     that of the scorer's bias. Ids may be null or repeated; each row is scored by itself. An empty
     table gives no rows.
     """

@@ -304,6 +304,31 @@ def test_labeller_accuracies():
         assert abs(fit.table[j, 0, 0] - a) < 0.12 and fit.table[j, 1, 0] < 0.01
 
 
+def test_a_labeller_with_many_false_alarms_is_not_believed():
+    from orrery.llm.quality import fit_labellers
+
+    r = np.random.default_rng(3)
+    good = r.random(50_000) < 0.8
+    rates = [(0.6, 0.002), (0.5, 0.002), (0.7, 0.002), (0.1, 0.1)]  # the last one says nothing about the class
+    votes = np.stack([-((r.random(50_000) < np.where(good, b, a)).astype(int)) for a, b in rates], 1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    fit = fit_labellers(patterns, counts)
+    assert abs(fit.table[3, 1, 0] - 0.1) < 0.01 and abs(fit.good - 0.8) < 0.02
+    assert (fit.posterior(votes[good]) < 0.5).mean() < 0.02
+
+
+def test_labellers_vote_good_too():
+    import pyarrow as pa
+
+    from orrery.llm.common import slices
+    from orrery.llm.quality import votes
+
+    texts = ["The garden was quiet in the morning, and nobody came. Later a few people walked by the river.", "$$$ ### || ^^ ~~ {} [] ++ == ** && %% @@ <> !!"]
+    part = next(slices([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(texts)], ["i", "t"])], 1))
+    found = votes(part)[0]
+    assert (found[0] == 1).sum() >= 3 and not (found[0] == -1).any() and (found[1] == -1).sum() >= 2
+
+
 # op6
 @pytest.mark.parametrize("which", ["corpus", "odd"])
 def test_substring_dedup(spark, request, which):
