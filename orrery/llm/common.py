@@ -7,6 +7,7 @@ offsets), so that the cost per byte is a few array operations and memory is boun
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 U = np.uint64
 #: Bytes of text that one slice holds; a longer document makes a slice of its own.
 SLICE_BYTES = 1 << 20
-#: Rows that Spark hands over at a time, unless the session says otherwise: its default of 10,000 whole texts takes much memory on both sides.
+#: Rows that Spark hands over at a time in a tuned() session: its default of 10,000 whole texts takes much memory on both sides.
 BATCH_ROWS = 1024
 SLICE_ROWS = 4096
 
@@ -187,12 +188,12 @@ def lists_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session that hands BATCH_ROWS rows to Python at a time where nothing else is set."""
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session, handing BATCH_ROWS rows to Python at a time where nothing else is set. For programs: operators change no setting."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key, None) is None:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return df
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
 
 
 def map_slices(df: DataFrame, schema: str, work: Callable[[Slice], dict | pa.RecordBatch | None], text: int = 1, max_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -205,7 +206,7 @@ def map_slices(df: DataFrame, schema: str, work: Callable[[Slice], dict | pa.Rec
             if out is not None:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in out.values()], names)
 
-    return small_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -222,13 +223,26 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: What written() has made and nothing has removed, in the order of making.
+_KEPT: list[DataFrame] = []
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, kept as a table in the shared folder: the plan before it is cut, and lost executors lose nothing."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of the job that has ended
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows, kept as a table in the shared folder: the plan before it is cut, and lost executors lose nothing.
+
+    The shuffle files of the job that writes them are removed with its end; the session's own setting holds again after it.
+    """
+    spark = df.sparkSession
+    path, before = shared_dir(spark, name), spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
+    _KEPT.append(out)
     return out
 
 
@@ -238,12 +252,27 @@ def discard(*tables: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df.kept_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _KEPT[:] = [x for x in _KEPT if x.kept_at != df.kept_at]
+
+
+@contextmanager
+def scratch(*keep: str) -> Iterator[None]:
+    """Removes on leaving what written() made inside, but for tables of the names to keep.
+
+    Operators return frames that are not run yet and read their last tables; a caller that writes or collects a result inside leaves nothing behind.
+    """
+    before = {x.kept_at for x in _KEPT}
+    try:
+        yield
+    finally:
+        discard(*(x for x in list(_KEPT) if x.kept_at not in before and x.kept_at.rsplit("/", 1)[-1].rsplit("-", 1)[0] not in keep))
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of the folder, for a query: the session is tuned() for it."""
+    return tuned(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def doc_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator reads, whatever else the table holds."""
-    return small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

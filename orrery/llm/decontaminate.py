@@ -21,7 +21,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, BYTE_VALUES, LOWER, Slice, doc_texts, prefix_hash, slices, small_batches, span_hash, words_of
+from .common import ALNUM, BYTE_VALUES, LOWER, Slice, doc_texts, prefix_hash, slices, span_hash, words_of
 
 SAMPLE = 8
 #: Bytes of benchmark text in one block, and of texts that are searched for one block after the other where there are several.
@@ -309,4 +309,4 @@ def remove_contamination(df: DataFrame, bench: DataFrame, width: int = 10, id_co
             else:
                 yield part.batch
 
-    return small_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)

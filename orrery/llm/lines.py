@@ -1,14 +1,19 @@
-"""Line dedup by masked lines, in DataFrame functions only.
-
-A token that holds a digit, an at sign or a slash is a variable field and becomes a wildcard. Lines
-whose masked tokens are all equal are one template. This is exact matching: it stands in for a
-log-template tree, which would also generalise fields of letters by token count and leading tokens,
-because the SQL below identifies a template by its whole masked line.
-
-A template recurs if it is found in min_docs documents or more and stands in ever new surroundings:
-at least every second occurrence has another pair of neighbouring templates. Boilerplate does that;
-the lines of copied documents stand where they stood in the original, and are left to document
-dedup. All lines of a recurring template are dropped, from every document.
+"""Line dedup by a log-template tree, in DataFrame functions only.
+
+A line is a row of tokens; one that holds a digit, an at sign or a slash is masked. The tree has a fixed
+depth: the number of tokens, then the first DEPTH of them. In a leaf a token is fixed at its place if
+min_docs texts or more hold it there; at all other places stands a variable field. A line of which half
+the tokens or more are fixed belongs to the template of its fixed tokens; a line with fewer is like
+nothing else in its leaf and has no template.
+
+A template recurs if min_docs texts or more hold it and no more of them are copies than are not, and its
+lines are dropped from every document. Equal texts are one. A text of SHORT tokens or more is a copy if
+COPIED percent of them stand at their places in lines of another text too: it is that text with some words
+changed, and a matter of document dedup. Without that the lines of every group of near copies would be boilerplate. A copy
+loses the lines that recur elsewhere like any other text.
+
+Hot keys (a line of a third of all documents) are counted with map-side combination, and joined back to
+tables of one row for each key, which Spark's skew join splits.
 """
 
 from __future__ import annotations
@@ -16,93 +21,134 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, written
+
 BLANK = r"[ \t\x0B\f\r]"
 TOKEN = r"[^ \t\x0B\f\r]"
 #: A token with a variable part. Anchored at the token's begin and without backtracking: linear in its length.
 VARIABLE = rf"(?<!{TOKEN})[^ \t\x0B\f\r0-9@/]*+[0-9@/]{TOKEN}*+"
-DEPTH = 3
+#: Leading tokens that lead to a leaf, besides the number of tokens.
+DEPTH = 2
 MIN_DOCS = 3
+#: Fewer tokens do not tell a copy from a text made of boilerplate.
+SHORT = 20
+COPIED = 85
 
 
-def template(line: Column) -> Column:
-    """Hash of the line's masked tokens, of all of them: how they are split at DEPTH decides nothing. 0 for a line without tokens."""
+def _line(line: Column) -> Column:
+    """The place of a line in the tree: hash of all its masked tokens, of its leaf, and of each token. Without tokens the hashes are 0."""
     masked = F.when(line.rlike("[0-9@/]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
     tokens = F.filter(F.split(masked, f"{BLANK}+"), lambda t: t != "")
-    path = lambda t: F.xxhash64(F.size(t), F.slice(t, 1, DEPTH), F.slice(t, DEPTH + 1, F.greatest(F.size(t), F.lit(1))))
-    return F.when(line.rlike(TOKEN), F.element_at(F.transform(F.array(tokens), path), 1)).otherwise(F.lit(0).cast("long"))
-
-
-def _parsed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, key (of the row's id and text), templates of its lines in order; without rows of null text."""
-    row = df.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    return row.select("doc", _key("doc", "text").alias("key"), F.transform(F.split("text", "\n"), template).alias("paths"))
-
-
-def _key(doc: str, text: str) -> Column:
-    return F.xxhash64(doc, text)
-
-
-def recurring_templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """path, n_lines, n_surroundings, n_docs of the templates that recur. n_docs counts the first document of each surrounding."""
-    paths = F.col("paths")
-    around = F.transform(paths, lambda h, i: F.struct(h.alias("path"), F.xxhash64(F.get(paths, i - 1), F.get(paths, i + 1)).alias("around")))
-    lines = _parsed(df, id_col, text_col).select("doc", F.inline(around)).where("path <> 0")
-    places = lines.groupBy("path", "around").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
-    found = places.groupBy("path").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_surroundings"), F.countDistinct("doc").alias("n_docs"))
-    return found.where((F.col("n_docs") >= min_docs) & (2 * F.col("n_surroundings") >= F.col("n_lines")))
-
-
-def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
+    hashed = lambda t: F.struct(F.xxhash64(t).alias("path"), F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)).alias("leaf"), F.transform(t, lambda x: F.hash(x)).alias("tokens"))
+    none = F.struct(F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("leaf"), F.array().cast("array<int>").alias("tokens"))
+    return F.when(line.rlike(TOKEN), F.element_at(F.transform(F.array(tokens), hashed), 1)).otherwise(none)
+
+
+def _keys(text: str) -> dict[str, Column]:
+    """96 bits that stand for a text; null for a null text."""
+    some = F.col(text).isNotNull()
+    return {"k1": F.when(some, F.xxhash64(text)), "k2": F.when(some, F.hash(text))}
+
+
+def _templates(lines: DataFrame, min_docs: int) -> DataFrame:
+    """path, template (null for none), n_same: the tokens that another text has there too. lines: k1, k2, path, leaf, tokens."""
+    real = lines.where("path <> 0")
+    texts = real.select("path", "leaf", F.size("tokens").alias("n"), "k1", "k2").distinct().groupBy("path", "leaf", "n").agg(F.count("*").alias("texts"))
+    texts = written(texts, "paths")
+    leaves = texts.groupBy("leaf").agg(F.sum("texts").alias("in_leaf")).where("in_leaf >= 2")
+    tokens = real.select("path", "leaf", "tokens").join(leaves, "leaf").groupBy("path", "in_leaf").agg(F.first("tokens").alias("tokens"))
+    rest = F.slice("tokens", DEPTH + 1, F.greatest(F.size("tokens"), F.lit(1)))
+    places = texts.join(tokens, "path").select("path", "leaf", "n", "texts", "in_leaf", F.posexplode_outer(rest).alias("place", "token"))
+    places = written(places, "places")
+    held = places.where("token is not null").groupBy("leaf", "place", "token").agg(F.sum("texts").alias("held")).where("held >= 2")
+    marked = places.join(held, ["leaf", "place", "token"], "left")
+    fixed = F.when(F.col("held") >= min_docs, F.struct("place", "token"))
+    own = marked.groupBy("path", "leaf", "n", "in_leaf").agg(F.sort_array(F.collect_list(fixed)).alias("fixed"), F.count("held").cast("int").alias("same"))
+    head = F.least("n", F.lit(DEPTH))
+    n_fixed = F.when(F.col("in_leaf") >= min_docs, head + F.size("fixed")).otherwise(0)
+    template = F.when(n_fixed == F.col("n"), F.col("path")).when(2 * n_fixed >= F.col("n"), F.xxhash64("leaf", "fixed"))
+    out = written(own.select("path", "n", template.alias("template"), (head + F.col("same")).alias("n_same")).where("2 * n_same >= n").drop("n"), "templates")
+    discard(texts, places)
+    return out
+
+
+def recurring_lines(df: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """k1, k2 (of a text), cut: the numbers of its lines, from 0 on, that belong to recurring templates."""
+    row = df.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).withColumns(_keys("text"))
+    parsed = written(row.select("k1", "k2", F.transform(F.split("text", "\n"), _line).alias("lines")), "lines")
+    lines = parsed.select("k1", "k2", F.posexplode("lines").alias("line", "at")).select("k1", "k2", "line", "at.*")
+    templates = _templates(lines, min_docs)
+    hits = written(lines.where("path <> 0").select("k1", "k2", "line", "path").join(templates, "path").select("k1", "k2", "line", "template", "n_same"), "template-lines")
+    sizes = parsed.select("k1", "k2", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.size(x["tokens"])).alias("n"))
+    # rows of equal texts add the same to either sum
+    copies = hits.groupBy("k1", "k2").agg(F.sum("n_same").alias("same")).join(sizes.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), ["k1", "k2"]).where((100 * F.col("same") >= COPIED * F.col("n")) & (F.col("n") >= SHORT * F.col("rows"))).select("k1", "k2", F.lit(1).alias("copy"))
+    held = hits.where("template is not null").select("template", "k1", "k2").distinct().join(copies, ["k1", "k2"], "left")
+    recurring = held.groupBy("template").agg(F.count("*").alias("texts"), F.count("copy").alias("copies")).where((F.col("texts") >= min_docs) & (F.col("texts") >= 2 * F.col("copies"))).select("template")
+    cut = written(hits.join(recurring, "template").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("line")).alias("cut")), "cut-lines")
+    discard(parsed, templates, hits)
+    return cut
+
+
+def drop_recurring_lines(df: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
     """The table with the lines of recurring templates cut from its texts; other columns as they are.
 
     With counts, the columns n_lines and n_dropped follow. A null text stays null (0 lines), an empty
     text is one blank line, blank lines are never dropped; a document that loses all its lines stays,
-    with an empty text. Rows of a null id, repeated ids and repeated rows are each cut by themselves
-    (rows without an id do not count as documents). Columns may have any names.
+    with an empty text. Rows are told apart by their texts alone: ids may be null or repeated, repeated
+    rows are one text and each is cut. An empty table gives no rows. Columns may have any names.
     """
-    recurring = recurring_templates(df, id_col, text_col, min_docs).select("path")
-    lines = _parsed(df, id_col, text_col).select("doc", "key", F.posexplode_outer("paths").alias("line", "path"))  # outer: no filter that parses once more is put below
-    cut = lines.join(recurring, "path").groupBy("doc", "key").agg(F.sort_array(F.collect_set("line")).alias("cut"))
-    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("own_doc"), F.col(text_col).cast("string").alias("own_text"))
-    row = row.withColumn("own_key", _key("own_doc", "own_text"))
-    both = row.join(cut, row["own_doc"].eqNullSafe(cut["doc"]) & (row["own_key"] == cut["key"]), "left")
+    cut = recurring_lines(df, text_col, min_docs).withColumnsRenamed({"k1": "c1", "k2": "c2"})
+    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("own_text")).withColumns(_keys("own_text"))
+    both = row.join(cut, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     all_lines, at = F.split("own_text", "\n"), F.col("cut")
     # what stands between one cut line and the next
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(at)), lambda i: F.slice(F.col("lines"), F.coalesce(F.get(at, i - 1), F.lit(-1)) + 2, F.coalesce(F.get(at, i), F.size("lines")) - F.coalesce(F.get(at, i - 1), F.lit(-1)) - 1)))
     done = both.withColumn("lines", all_lines).withColumn("kept_text", F.when(at.isNull(), F.col("own_text")).otherwise(F.array_join(kept, "\n")))
     out = [F.col("kept_text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns]
     if counts:
-        out += [F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(at.isNotNull(), F.size(at)), F.lit(0)).cast("long").alias("n_dropped")]
-        out[-2] = F.when(F.col("own_text").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long").alias("n_lines")
+        out += [F.when(F.col("own_text").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long").alias("n_lines"), F.when(at.isNull(), F.lit(0)).otherwise(F.size(at)).cast("long").alias("n_dropped")]
     return done.select(*out)
 
 
 def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 (of what is left, UTF-8; of nothing for a null text)."""
     texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    cut = drop_recurring_lines(texts, "doc_id", "text", min_docs, counts=True)
+    cut = drop_recurring_lines(texts, "text", min_docs, counts=True)
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-#: The same in DuckDB's SQL: templates by their text.
+#: The same in DuckDB's SQL: templates by their text, char 1 for a variable field.
 LINES_SQL = r"""
 WITH split AS (
-  SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM {docs} WHERE text IS NOT NULL),
+  SELECT text, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM (SELECT DISTINCT text FROM {docs} WHERE text IS NOT NULL)),
 parsed AS (
-  SELECT doc_id, text, i, line, list_filter(regexp_split_to_array(regexp_replace(line, '[^ \t\x0B\f\r]*[0-9@/][^ \t\x0B\f\r]*', '<*>', 'g'), '[ \t\x0B\f\r]+'), lambda t: t <> '') AS tokens FROM split),
-paths AS (
-  SELECT doc_id, text, i, line, CASE WHEN len(tokens) = 0 THEN '' ELSE len(tokens) || ':' || array_to_string(tokens, ' ') END AS path FROM parsed),
-around AS (
-  SELECT doc_id, path, coalesce(lag(path) OVER w, chr(10)) || chr(10) || coalesce(lead(path) OVER w, chr(10)) AS around FROM paths WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
+  SELECT text, i, line, list_filter(regexp_split_to_array(regexp_replace(line, '[^ \t\x0B\f\r]*[0-9@/][^ \t\x0B\f\r]*', '<*>', 'g'), '[ \t\x0B\f\r]+'), lambda t: t <> '') AS tokens FROM split),
+kinds AS (
+  SELECT tokens, len(tokens) AS n, tokens[1:2] AS head, count(DISTINCT text) AS texts FROM parsed WHERE len(tokens) > 0 GROUP BY ALL),
+leaves AS (
+  SELECT n, head, sum(texts) AS in_leaf FROM kinds GROUP BY ALL),
 places AS (
-  SELECT path, around, count(*) AS n, min(doc_id) AS doc_id FROM around WHERE path <> '' GROUP BY path, around),
+  SELECT tokens, n, head, texts, p, tokens[p] AS token FROM kinds, unnest(range(3, n + 1)) AS t(p)),
+held AS (
+  SELECT n, head, p, token, sum(texts) AS held FROM places GROUP BY ALL),
+ends AS (
+  SELECT places.tokens, count(*) FILTER (WHERE held >= 2) AS same, count(*) FILTER (WHERE held >= 3) AS fixed, string_agg(CASE WHEN held >= 3 THEN token ELSE chr(1) END, ' ' ORDER BY p) AS more
+  FROM places JOIN held USING (n, head, p, token) GROUP BY places.tokens),
+templates AS (
+  SELECT tokens, least(n, 2) + coalesce(same, 0) AS n_same, CASE WHEN in_leaf >= 3 AND 2 * (least(n, 2) + coalesce(fixed, 0)) >= n THEN concat_ws(' ', n, array_to_string(head, ' '), more) END AS template
+  FROM kinds JOIN leaves USING (n, head) LEFT JOIN ends USING (tokens) WHERE in_leaf >= 2 AND 2 * (least(n, 2) + coalesce(same, 0)) >= n),
+hits AS (
+  SELECT text, i, template, n_same FROM parsed JOIN templates USING (tokens)),
+copies AS (
+  SELECT text, true AS copy FROM (SELECT text, sum(len(tokens)) AS n FROM parsed GROUP BY text) JOIN (SELECT text, sum(n_same) AS same FROM hits GROUP BY text) USING (text) WHERE n >= 20 AND 100 * same >= 85 * n),
 recurring AS (
-  SELECT path FROM places GROUP BY path HAVING count(DISTINCT doc_id) >= 3 AND 2 * count(*) >= sum(n)),
-marked AS (
-  SELECT doc_id, text, i, line, path IN (SELECT path FROM recurring) AS cut FROM paths)
+  SELECT template FROM (SELECT DISTINCT template, text FROM hits WHERE template IS NOT NULL) LEFT JOIN copies USING (text) GROUP BY template HAVING count(*) >= greatest(3, 2 * count(copy))),
+cut AS (
+  SELECT text, i FROM hits SEMI JOIN recurring USING (template)),
+report AS (
+  SELECT text, count(*) AS n_lines, count(cut.i) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE cut.i IS NULL) AS kept FROM parsed LEFT JOIN cut USING (text, i) GROUP BY text)
 """
 LINE_REPORT_SQL = LINES_SQL.format(docs="documents") + """
-SELECT d.doc_id, coalesce(count(i), 0)::BIGINT AS n_lines, count(i) FILTER (WHERE cut)::BIGINT AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT cut), '')) AS kept_sha256
-FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id AND d.text = m.text GROUP BY d.doc_id
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN report r ON d.text = r.text
 """

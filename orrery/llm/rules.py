@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, LOWER, SPACE, Slice, char_count, discard, lists_of, mix, prefix_hash, slices, small_batches, span_hash, window_hash, words_of, written
+from .common import BYTE_VALUES, LOWER, SPACE, Slice, char_count, discard, lists_of, mix, prefix_hash, slices, span_hash, window_hash, words_of, written
 
 #: Distances (square root of the divergence in bits) above which a text is not kept.
 CHAR_LIMIT, WORD_LIMIT = 0.3, 0.5
@@ -150,7 +150,7 @@ def references(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     A reference has the character classes and then the words. The table is kept in the shared folder,
     so that its size is known to the joins with it.
     """
-    docs = small_batches(df).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    docs = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     width = CLASSES + len(WORDS) + 1
 
     def gather(batches):
@@ -187,7 +187,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     any other, an empty table gives none.
     """
     known, everything = references(df, id_col, text_col, lang_col)
-    docs = small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     width = CLASSES + len(WORDS) + 1
 
     def run(batches):

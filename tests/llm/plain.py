@@ -113,26 +113,39 @@ def base_rules(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, sum(mark), len(w) < 50 or 100 * sum(mark) > 50 * len(w)
 
 
-def recurring_lines(docs):
+def recurring_lines(docs, least=3):
     """Kept text of each row (doc_id, text), None for a null text."""
 
-    def path(line):
-        tokens = [x for x in re.split(r"[ \t\x0B\f\r]+", re.sub(r"[^ \t\x0B\f\r]*[0-9@/][^ \t\x0B\f\r]*", "<*>", line)) if x]
-        return (len(tokens), *tokens) if tokens else None
-
-    places = defaultdict(list)
-    for i, t in docs:
-        if t is not None:
-            paths = [path(x) for x in t.split("\n")]
-            for k, p in enumerate(paths):
-                if p:
-                    places[p].append(((paths[k - 1] if k else "begin", paths[k + 1] if k + 1 < len(paths) else "end"), i))
-    cut = set()
-    for p, found in places.items():
-        around = defaultdict(list)
-        for a, i in found:
-            around[a].append(i)
-        least = {min((x for x in v if x is not None), default=None) for v in around.values()} - {None}
-        if len(least) >= 3 and 2 * len(around) >= len(found):
-            cut.add(p)
-    return [None if t is None else "\n".join(x for x in t.split("\n") if path(x) not in cut) for _, t in docs]
+    def tokens(line):
+        return tuple(x for x in re.split(r"[ \t\x0B\f\r]+", re.sub(r"[^ \t\x0B\f\r]*[0-9@/][^ \t\x0B\f\r]*", "<*>", line)) if x)
+
+    texts = {t: [tokens(x) for x in t.split("\n")] for t in {t for _, t in docs if t is not None}}
+    leaf_of = lambda line: (len(line), line[:2])
+    holders = defaultdict(set)
+    for t, lines in texts.items():
+        for line in lines:
+            holders[line].add(t)
+    in_leaf, held = Counter(), Counter()
+    for line, by in holders.items():
+        in_leaf[leaf_of(line)] += len(by)
+        for i, x in enumerate(line[2:]):
+            held[leaf_of(line), i, x] += len(by)
+
+    def known(line, n):  # which tokens are known at their places in n texts
+        head = min(len(line), 2) if in_leaf[leaf_of(line)] >= n else 0
+        return [i < head if i < 2 else head > 0 and held[leaf_of(line), i - 2, x] >= n for i, x in enumerate(line)]
+
+    def template(line):
+        at = known(line, least)
+        return (leaf_of(line), tuple(x if k else None for x, k in zip(line, at))) if line and 2 * sum(at) >= len(line) else None
+
+    in_texts, copies = defaultdict(set), set()
+    for t, lines in texts.items():
+        same = [sum(known(line, 2)) for line in lines]
+        size = sum(map(len, lines))
+        if size >= 20 and 100 * sum(k for k, line in zip(same, lines) if 2 * k >= len(line)) >= 85 * size:
+            copies.add(t)
+        for line in lines:
+            in_texts[template(line)].add(t)
+    recur = {k for k, v in in_texts.items() if k and len(v) >= max(least, 2 * len(v & copies))}
+    return [None if t is None else "\n".join(x for x in t.split("\n") if template(tokens(x)) not in recur) for _, t in docs]

@@ -360,6 +360,44 @@ def test_line_dedup(spark, odd):
     assert "Python" not in report._jdf.queryExecution().toString() and "Arrow" not in report._jdf.queryExecution().toString()
 
 
+def left_of(spark, rows):
+    from orrery.llm.lines import drop_recurring_lines
+
+    left = {r.doc_id: r.text for r in drop_recurring_lines(table(spark, rows)).collect()}
+    assert left == {i: e for (i, _), e in zip(rows, plain.recurring_lines(rows))}
+    return left
+
+
+def test_all_lines_of_a_block_go(spark):
+    """A block of boilerplate in many documents, behind blank lines and at the ends of texts, goes with its inner lines."""
+    r = random.Random(41)
+    block = ["Home", "About us", "Contact sales", "Privacy policy"]
+    body = lambda: prose(r, 12).replace("\n", " ")
+    rows = [(i, "\n".join([body(), *([""] if i % 2 else []), *block, *([body()] if i % 3 else [])])) for i in range(60)]
+    left = left_of(spark, rows)
+    for i, t in rows:
+        assert left[i].split("\n") == [x for x in t.split("\n") if x not in block]
+
+
+def test_fields_of_letters_are_generalised(spark):
+    r = random.Random(42)
+    name = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    forms = ["Posted by user{} in general forum", "Posted by {} {}", "Filed under {}", "Welcome back, {}"]
+    rows = [(i, forms[i % 4].format(name(), name())) for i in range(100)] + [(200 + i, prose(r, 40).replace("\n", " ")) for i in range(5)]
+    left = left_of(spark, rows)
+    assert all(left[i] == "" for i in range(100)) and all(left[i] == t for i, t in rows[100:])
+
+
+def test_copies_keep_what_is_theirs(spark):
+    """Near copies of a document with a notice: the notice goes, from them too, and their own lines stay, however many copies there are."""
+    r = random.Random(43)
+    notice, own = "All of this was written by hand", [prose(r, 14).replace("\n", " ") for _ in range(8)]
+    rows = [(i, "\n".join([prose(r, 20).replace("\n", " "), notice])) for i in range(12)] + [(50 + i, "\n".join([*own, notice])) for i in range(30)]
+    rows += [(100 + i, "\n".join([*own[:2], edited(r, own[2], 1), *own[3:], notice])) for i in range(6)]
+    left = left_of(spark, rows)
+    assert not any(notice in t for t in left.values()) and all(own[0] in left[i] and own[7] in left[i] for i in (*range(50, 80), *range(100, 106)))
+
+
 # op8
 def test_license_scan(spark, odd):
     from orrery.llm.licenses import TEXTS, best_templates, license_scan, templates
