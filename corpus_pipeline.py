@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.bpe import bpe_round_trip
-from orrery.llm.common import documents, written
+from orrery.llm.common import discard, documents, scratch, tuned, written
 from orrery.llm.decontaminate import remove_contamination
 from orrery.llm.lines import drop_recurring_lines
 from orrery.llm.quality import keep_good
@@ -20,6 +20,7 @@ from orrery.llm.setsketch import keep_representatives
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised scorer rejects go."""
+    tuned(spark)
     return keep_good(docs)
 
 
@@ -34,16 +35,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of the smallest id."""
+    tuned(spark)
     return keep_representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of benchmark windows are cut from the texts."""
+    tuned(spark)
     return _counted(remove_contamination(docs, documents(spark, sf_dir, "benchmark")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded texts."""
+    tuned(spark)
     return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -57,10 +61,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again for the next."""
+    """All stages over documents, each written as Parquet to the shared folder and read again for the next.
+
+    What a stage has kept for itself goes once its rows are written, and these go once the next stage's are.
+    """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        table, last = "stage-" + name.replace(" ", "-"), docs
+        with scratch(table):
+            docs = written(stage(spark, docs, sf_dir), table)
+        if hasattr(last, "kept_at"):
+            discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
