@@ -76,22 +76,46 @@ def test_two_stage_sorting(seed):
         assert keys == sorted(keys)
 
 
+def test_common_prefixes_of_wanted_suffixes():
+    from orrery.llm.suffixes import longest_repeats
+
+    def common(x, y):
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        return n
+
+    r = random.Random(1)
+    for _ in range(100):
+        contexts = [bytes(r.randrange(97, 97 + r.choice([1, 2, 4])) for _ in range(r.randint(1, 40))) for _ in range(r.randint(1, 6))]
+        contexts += [contexts[0]] * r.randint(0, 2)
+        starts = [r.randint(0, len(c)) for c in contexts]
+        got, bounds = longest_repeats(contexts, starts, 50)
+        places = [(i, j) for i, n in enumerate(starts) for j in range(n)]
+        for i, j in places:
+            assert got[bounds[i] + j] == max((common(contexts[i][j:], contexts[k][m:]) for k, m in places if (k, m) != (i, j)), default=0)
+
+
 @pytest.mark.parametrize("which", ["corpus", "odd"])
 def test_suffix_array_dedup(spark, request, which):
     from orrery.llm.suffixes import drop_repeats
 
     rows = request.getfixturevalue(which)
-    for width in (400, 40):
+    for width, passage in ((400, 300), (40, 300), (90, 70)):
         expected = plain.suffix_dedup([t for _, t in rows], width)
-        same_rows(drop_repeats(table(spark, rows), width=width), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [(i, *e) for (i, _), e in zip(rows, expected)])
+        repeated = [e[1] for e in plain.suffix_dedup([t for _, t in rows], min(width, passage))]
+        assert sum(repeated) > sum(e[1] for e in expected) or passage > width
+        same_rows(drop_repeats(table(spark, rows), width=width, passage=passage), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"], [(i, *e, n) for (i, _), e, n in zip(rows, expected, repeated)])
 
 
 def test_suffix_array_dedup_of_hot_anchors(spark, corpus, monkeypatch):
     from orrery.llm import suffixes
 
     monkeypatch.setattr(suffixes, "HOT", 2)
-    expected = plain.suffix_dedup([t for _, t in corpus], 60)
-    same_rows(suffixes.drop_repeats(table(spark, corpus), width=60), ["doc_id", "n_removed", "kept_sha256"], [(i, e[1], e[3]) for (i, _), e in zip(corpus, expected)])
+    expected, shorter = (plain.suffix_dedup([t for _, t in corpus], w) for w in (80, 60))
+    for passage, other in ((60, shorter), (80, expected)):
+        got = suffixes.drop_repeats(table(spark, corpus), width=80, passage=passage)
+        same_rows(got, ["doc_id", "n_removed", "kept_sha256", "n_repeated"], [(i, e[1], e[3], o[1]) for (i, _), e, o in zip(corpus, expected, other)])
 
 
 # op2
