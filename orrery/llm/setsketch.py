@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, LOWER, SPACE, Slice, _bytes_of, _table, discard, doc_texts, map_slices, mix, prefix_hash, span_hash, words_of, written
+from .common import BYTE_VALUES, LOWER, SPACE, Slice, _bytes_of, _table, discard, doc_texts, map_slices, mix, prefix_hash, scratch, span_hash, words_of, written
 
 ROWS, BANDS = 4, 32
 REGISTERS = ROWS * BANDS
@@ -294,14 +294,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Words are runs of anything but ASCII white space, lower-cased in A-Z. With fewer than five words
     the whole sequence is one shingle; without words, or with a null text, the set is empty and the
-    row is linked with nothing. Rows that share an id are one document with several texts. A row
-    without an id is linked with nothing, has no component and is kept.
+    row is linked with nothing. Rows that share an id are one document with several texts: what links
+    with one of them links with the document, and all its rows have one component. A row without an id
+    is linked with nothing, has no component and is kept. An empty table gives no rows.
     """
+    with scratch("near-duplicates"):
+        return written(_near_duplicates(doc_texts(df, id_col, text_col)), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     from .components import components
 
-    docs = doc_texts(df, id_col, text_col)
     sketch = written(sketches(docs), "sketches")
-    real = sketch.where("n_shingles > 0 and doc_id is not null")
+    named = sketch.where("doc_id is not null")
+    real = named.where("n_shingles > 0")
     classes = real.groupBy("s1", "s2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
     classes = written(classes, "classes")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("key")
@@ -309,7 +315,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = members.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("size")).where("size > 1")
     shared = written(members.join(heads, "key").select("key", "rep", "head"), "buckets")
     tried = written(shared.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = written(_verified(_estimated(tried, classes), docs), "links")
+    # an id with several sets is tied to the representative of each
+    own = ["s1", "s2", "n_shingles"]
+    by_set = classes.select("s1", "s2", F.col("n").alias("n_shingles"), "rep")
+    several = named.select("doc_id", *own).distinct().groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").select("doc_id")
+    ties = real.join(several, "doc_id").join(by_set, own).select(F.greatest("doc_id", "rep").alias("a"), F.least("doc_id", "rep").alias("b"))
+    links = written(_verified(_estimated(tried, classes), docs).union(ties).distinct(), "links")
 
     if links.isEmpty():
         part = shared.withColumn("component", F.col("rep"))
@@ -321,11 +332,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not left.isEmpty():
         links = links.union(written(_cluster_links(left, classes, docs), "links"))
     found = components(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    member = real.select("doc_id", "s1", "s2", "n_shingles").join(classes.select("s1", "s2", F.col("n").alias("n_shingles"), "rep"), ["s1", "s2", "n_shingles"])
-    # a class of a later text of an id ties its members to that id's other texts, through the representative or through the id itself
-    placed = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    rest = sketch.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return placed.union(rest).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    placed = real.select("doc_id", *own).join(by_set, own).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    rest = named.where("n_shingles = 0").select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    nameless = sketch.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return placed.union(rest).union(nameless).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

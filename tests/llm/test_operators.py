@@ -260,6 +260,35 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert all(g.component_id <= g.doc_id for g in got if g.doc_id is not None)
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    from orrery.llm.setsketch import keep_representatives, near_duplicates
+
+    r = random.Random(51)
+    a, b, c, d = (prose(r, 60) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (8, None), (9, c), (9, ""), (20, d), (20, d), (21, None), (21, "x"), (30, None), (30, d)]
+    got = {(g.doc_id, g.component_id, g.kept) for g in near_duplicates(table(spark, rows)).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (7, 3, False), (8, 8, True), (9, 8, False), (20, 20, True), (21, 21, True), (30, 20, False)}
+    same_rows(keep_representatives(table(spark, rows)), ["doc_id"], [(i,) for i, _ in rows if i in (3, 8, 20, 21)])
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Pairs of a similarity of 0.75 to 0.80, each of its own words: the bands must bring together 0.9 of them, and do nearly all."""
+    from orrery.llm.setsketch import near_duplicates
+
+    r, rows, planted = random.Random(52), [], 0
+    while planted < 150:
+        text = [f"{word(r)}{r.randrange(10**6)}" for _ in range(r.choice([60, 200, 600]))]
+        other = list(text)
+        for i in range(0, len(text), r.choice([33, 36, 39])):
+            other[i] = "changed"
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (text, other))
+        if 0.75 <= len(a & b) / len(a | b) < 0.8:
+            rows += [(2 * planted, " ".join(text)), (2 * planted + 1, " ".join(other))]
+            planted += 1
+    got = {g.doc_id: g.component_id for g in near_duplicates(table(spark, rows)).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(planted)) >= 0.98 * planted
+
+
 def test_links_are_found_where_the_smallest_member_is_far(spark):
     """A chain: each text is near the next one only, so that stars around the smallest member do not do."""
     from orrery.llm.setsketch import near_duplicates
