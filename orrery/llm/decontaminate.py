@@ -25,7 +25,7 @@ from .common import ALNUM, BYTE_VALUES, LOWER, Slice, doc_texts, prefix_hash, sl
 
 SAMPLE = 8
 #: Bytes of benchmark text in one block, and of texts that are searched for one block after the other where there are several.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 GROUP_BYTES = 16 << 20
 
 
@@ -115,32 +115,37 @@ class FmIndex:
 
 @dataclass
 class Windows:
-    """The distinct windows of a block of benchmark items, as numbers of words."""
+    """The distinct windows of a block of benchmark items, as numbers of words. Arrays only: 44 bytes a window and 8 a word."""
 
     vocabulary: np.ndarray  # sorted hashes; word number = place + 1
     patterns: np.ndarray  # right-aligned
     sizes: np.ndarray
-    items: list[tuple]  # of each window, the ids of its items
+    owners: np.ndarray  # places in ids of the items of each window, window after window
+    bounds: np.ndarray
+    ids: list
     shortest: int
 
+    def items(self, window: int) -> list:
+        return [self.ids[i] for i in self.owners[self.bounds[window] : self.bounds[window + 1]].tolist()]
+
     @staticmethod
     def of(rows: list[tuple], width: int) -> Windows:
         batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array([t or "" for _, t in rows], pa.string())], ["i", "t"])
-        seqs: list[np.ndarray] = []
-        for part in slices([batch], 1):
-            hashes, bounds, _, _ = hashed_words(part)
-            seqs += [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-        used = np.unique(np.concatenate(seqs)) if seqs else np.empty(0, np.uint64)
-        by: dict[tuple, set] = defaultdict(set)
-        for (item, _), seq in zip(rows, seqs):
-            number = (np.searchsorted(used, seq) + 1).tolist()
-            for i in range(max(1, len(number) - width + 1) if number else 0):
-                by[tuple(number[i : i + width])].add(item)
-        patterns = np.zeros((len(by), width), np.int64)
-        for row, w in zip(patterns, by):
-            row[width - len(w) :] = w
-        sizes = np.array([len(w) for w in by], np.int64)
-        return Windows(used, patterns, sizes, [tuple(x) for x in by.values()], int(sizes.min()) if len(sizes) else 0)
+        found = [hashed_words(part)[:2] for part in slices([batch], 1)]
+        hashes = np.concatenate([h for h, _ in found]) if found else np.empty(0, np.uint64)
+        n = np.concatenate([np.diff(b) for _, b in found]) if found else np.empty(0, np.int64)
+        used, number = np.unique(hashes, return_inverse=True)
+        windows = np.where(n > 0, np.maximum(1, n - width + 1), 0)
+        owner = np.repeat(np.arange(len(n)), windows)
+        first = (np.cumsum(n) - n)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        sizes = np.minimum(n, width)[owner]
+        at = first[:, None] + np.arange(width) + sizes[:, None] - width
+        patterns = np.where(at >= first[:, None], number.astype(np.int32)[np.maximum(at, 0)] + 1, 0).astype(np.int32) if len(owner) else np.zeros((0, width), np.int32)
+        row, which = np.unique(np.ascontiguousarray(patterns).view(np.dtype((np.void, 4 * width))).ravel(), return_index=True, return_inverse=True)[1:]
+        pairs = np.unique(which.astype(np.int64) * max(1, len(n)) + owner) if len(owner) else np.empty(0, np.int64)
+        window, item = np.divmod(pairs, max(1, len(n)))
+        sizes = sizes[row].astype(np.int64)
+        return Windows(used, patterns[row], sizes, item.astype(np.int32), np.searchsorted(window, np.arange(len(row) + 1)), [x for x, _ in rows], int(sizes.min()) if len(sizes) else 0)
 
 
 def hashed_words(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -229,7 +234,7 @@ def _searched(batches: Iterable[pa.RecordBatch], text: int, blocks: list[Broadca
                     own = covered(at, windows.sizes[which], len(hashes))
                     marked[k] = own if marked[k] is None else marked[k] | own
                     for d, w in {*zip((np.searchsorted(bounds, at, "right") - 1).tolist(), which.tolist())}:
-                        found[k][d].update(windows.items[w])
+                        found[k][d].update(windows.items(w))
             if len(blocks) > 1 and block._path is not None:
                 del windows, block._value  # read again from the worker's file
         yield from zip(group, parsed, marked, found)
