@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, LOWER, Slice, doc_texts, map_slices, mix, prefix_hash, slices, span_hash, words_of, written
+from .common import BYTE_VALUES, LOWER, Slice, discard, doc_texts, map_slices, mix, prefix_hash, slices, span_hash, words_of, written
+from .setsketch import shingle_sets
 
 #: Letters only, so that punctuation and digits do not make other words of a word.
 LETTERS = np.zeros(256, bool)
@@ -115,18 +116,17 @@ def fit_ordinal(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, grade:
     return w, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
 
 
-def _copy_key(doc: np.ndarray, feature: np.ndarray, n_docs: int) -> np.ndarray:
-    """A key that near copies share: the three features of smallest hash."""
-    key = np.zeros(n_docs, np.uint64)
-    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    for j in range(3):
-        at = rank == j
-        key[doc[at]] = key[doc[at]] * np.uint64(0x9E3779B97F4A7C15) + feature[at]
+def _copy_key(part: Slice) -> np.ndarray:
+    """A key that near copies share and other documents do not: the five-word shingle of smallest hash; 0 without words."""
+    doc, hashes = shingle_sets(part.data, part.offsets)
+    key = np.zeros(len(part), np.uint64)
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64)
+    key[doc[first]] = np.minimum.reduceat(hashes, first) if len(first) else 0
     return key
 
 
 def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE) -> Ordinal:
-    """Fits on at most `sample` labelled documents. Labels that are null, or of unknown documents, are left out.
+    """Fits on at most `sample` labelled documents: of an id with several texts one, that of the smallest hash. Labels that are null, or of unknown documents, are left out.
 
     A feature is used if its presence goes with toxic documents (chi-square with one degree of
     freedom above 20). Near copies count as one document together, so that the words of one copied
@@ -135,12 +135,13 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     spark = df.sparkSession
     labels = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = written(doc_texts(df, id_col, text_col).join(F.broadcast(chosen), "doc_id").select((F.col("toxic") > 0).cast("long").alias("toxic"), "text"), "toxicity-sample")  # sample rows of two numbers
+    texts = doc_texts(df, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # sample rows of two numbers
+    own = F.min(F.struct(F.xxhash64("text"), F.col("text"))).alias("own")  # one text of an id
+    rows = written(texts.groupBy("doc_id", "toxic").agg(own).select((F.col("toxic") > 0).cast("long").alias("toxic"), F.col("own.text").alias("text")), "toxicity-sample")
 
     def keyed(batches):
         for part in slices(batches, 1):
-            doc, feature, _ = counted(*text_features(part)[:2])
-            yield pa.RecordBatch.from_arrays([part.batch.column(0), pa.array(_copy_key(doc, feature, len(part)).view(np.int64))], ["toxic", "key"])
+            yield pa.RecordBatch.from_arrays([part.batch.column(0), pa.array(_copy_key(part).view(np.int64))], ["toxic", "key"])
 
     groups = rows.mapInArrow(keyed, "toxic long, key long").toArrow()
     empty = Ordinal(np.empty(0, np.uint64), np.empty(0), np.array([2.0, 3.0, 4.0]))
@@ -154,7 +155,7 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         keys, weights = sent.value
         for part in slices(batches, 1):
             doc, feature, _ = counted(*text_features(part)[:2])
-            weight = weights[np.searchsorted(keys, _copy_key(doc, feature, len(part)).view(np.int64))]
+            weight = weights[np.searchsorted(keys, _copy_key(part).view(np.int64))]
             kinds, at = np.unique(feature, return_inverse=True)
             toxic = part.batch.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(np.bincount(at, (weight * toxic)[doc], minlength=len(kinds))), pa.array(np.bincount(at, weight[doc], minlength=len(kinds)))], ["feature", "a", "n"])
