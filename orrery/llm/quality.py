@@ -21,7 +21,7 @@ from .common import BYTE_VALUES, SPACE, Slice, doc_texts, map_slices, mix, prefi
 
 LABELLERS = ("symbols", "capitals", "repeats", "exclamations", "word_length", "sentences", "bars", "variety", "odd_bytes", "plain_words")
 BITS = 15
-#: About so many documents train the scorer, chosen by a hash of their ids.
+#: About so many documents train the scorer, chosen by a hash of id and text.
 SAMPLE = 4000
 #: Prior of a labeller's bad votes on good documents: their share, and its weight in documents, so that counts outweigh it.
 #: Kinds of bad text exclude each other; what keeps them in one class is that the votes for good go against all of them.
@@ -192,7 +192,9 @@ def fit_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     codes, counts = np.array([r.pattern for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
     labels = fit_labellers(unpattern(codes, len(LABELLERS)), counts)
     share = min(1.0, sample / max(1, int(counts.sum())))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).limit(3 * sample)
+    drawn_by = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    # equal rows are one; of the others each is drawn by itself, whatever its id
+    chosen = docs.withColumn("draw", drawn_by).where(F.col("draw").bitwiseAND((1 << 53) - 1) < int(share * (1 << 53))).groupBy("draw").agg(F.first("text").alias("text")).select("draw", "text")
 
     def drawn(batches):
         for part in slices(batches, 1):
@@ -204,7 +206,7 @@ def fit_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             cuts = np.searchsorted(kinds >> BITS, np.arange(len(part) + 1))
             yield pa.RecordBatch.from_arrays([pa.array(pattern(matrix)), pa.array([kinds[a:b] & ((1 << BITS) - 1) for a, b in zip(cuts[:-1], cuts[1:])], pa.list_(pa.int32())), pa.array([value[a:b] for a, b in zip(cuts[:-1], cuts[1:])], pa.list_(pa.float32()))], ["pattern", "bucket", "value"])
 
-    table = chosen.mapInArrow(drawn, "pattern long, bucket array<int>, value array<float>").toArrow()
+    table = chosen.mapInArrow(drawn, "pattern long, bucket array<int>, value array<float>").limit(3 * sample).toArrow()  # a bound that chance does not reach
     if not table.num_rows:
         return labels, Scorer(np.zeros(1 << BITS), 1.0)
     bucket = table["bucket"].combine_chunks()
