@@ -41,7 +41,7 @@ NAMES = {
     "CC0-1.0": ["CC0 1.0", "Creative Commons Zero v1.0 Universal"],
     "Unlicense": ["Unlicense"],
 }
-NOTICES = ["Licensed under {}", "Licensed under the {}", "Released under the {}", "This work is licensed under the {}", "This program is licensed under the terms of the {}", "Distributed under the {}"]
+NOTICES = ["Licensed under {}", "Licensed under the {}", "Released under the {}", "This work is licensed under the {}", "This program is licensed under the terms of the {}", "Distributed under the {}", "Licensed under a {}", "This work is licensed under a {}"]
 
 # The wording of licences.
 TEXTS = {
@@ -75,13 +75,19 @@ In jurisdictions that recognize copyright laws, the author or authors of this so
 }
 
 
+SPDX = "SPDX-License-Identifier: {}"
+#: Names that make a line by themselves; within a line they are a mention.
+HEADINGS = {f"{the}{name}" for names in NAMES.values() for name in names for the in ("", "The ")}
+
+
 def templates() -> list[tuple[str, str]]:
-    """(licence, text) of all templates: full wordings, and notices made of each name."""
-    return [*TEXTS.items(), *((k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES)]
+    """(licence, text) of all templates: full wordings, notices made of each name, identifier lines, names as headings."""
+    notices = [(k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES]
+    return [*TEXTS.items(), *notices, *((k, SPDX.format(k)) for k in NAMES), *((k, the + name) for k, names in NAMES.items() for name in names for the in ("", "The "))]
 
 
 #: What each notice is without its name.
-FRAMES = {n.format(name): n.format("") for names in NAMES.values() for name in names for n in NOTICES}
+FRAMES = {n.format(name): n.format("") for names in NAMES.values() for name in names for n in NOTICES} | {SPDX.format(k): SPDX.format("") for k in NAMES}
 
 
 @dataclass
@@ -92,6 +98,7 @@ class Templates:
     lengths: np.ndarray  # bigrams in order, repeated ones too
     holds: np.ndarray  # templates x any: which has which
     named: np.ndarray  # the same for the bigrams that a notice's name makes; none for wordings
+    whole: np.ndarray  # which are compared with whole units only
 
     @staticmethod
     def of(rows: list[tuple[str, str]]) -> Templates:
@@ -101,12 +108,12 @@ class Templates:
         for part in slices([batch], 1):
             pairs, bounds, _ = bigrams(part)
             runs += [pairs[a : max(a, b - 1)] for a, b in zip(bounds[:-1], bounds[1:])]
-        kept = [(name, run, np.unique(run), frame) for (name, _), run, frame in zip(rows, runs, runs[len(rows) :]) if len(run)]
+        kept = [(name, run, np.unique(run), frame, text in HEADINGS) for (name, text), run, frame in zip(rows, runs, runs[len(rows) :]) if len(run)]
         sets = [x[2] for x in kept]
         every = np.unique(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
         holds = np.array([np.isin(every, x) for x in sets]).reshape(len(sets), len(every))
         named = np.array([h & ~np.isin(every, x[3]) for h, x in zip(holds, kept)]).reshape(holds.shape)
-        return Templates([x[0] for x in kept], sets, every, np.array([len(x[1]) for x in kept], np.int64), holds, named)
+        return Templates([x[0] for x in kept], sets, every, np.array([len(x[1]) for x in kept], np.int64), holds, named, np.array([x[4] for x in kept], bool))
 
 
 def bigrams(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,6 +219,7 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             has[which, kinds % len(known.any)] = 1
             sizes = known.holds.sum(1)
             possible = has @ known.holds.T.astype(np.float32) >= sizes * (threshold / (2 - threshold)) - 1e-3
+            possible[:, known.whole] = False
             for row, d in enumerate(docs.tolist()):
                 a, b = int(bounds[d]), int(bounds[d + 1])
                 own = at[np.searchsorted(at, a) : np.searchsorted(at, b)]
