@@ -1,6 +1,7 @@
 """Plain versions of the operators, to compare with: slow, direct, and on rows in memory."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -113,6 +114,48 @@ def base_rules(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, sum(mark), len(w) < 50 or 100 * sum(mark) > 50 * len(w)
 
 
+def rule_verdicts(rows, common, min_chars, min_words, language_words, char_limit, word_limit):
+    """(base_failed, character distance, word distance, kept) of rows (doc_id, text, language)."""
+
+    def kind(c):
+        if "a" <= c <= "z" or "A" <= c <= "Z":
+            return "lower" if c >= "a" else "upper"
+        if "0" <= c <= "9":
+            return "digit"
+        if c in " \n":
+            return c
+        if c in "#*$%&|<>":
+            return "symbol"
+        return "punctuation" if "!" <= c <= "~" else "control" if c < "\x80" else "other"
+
+    def histograms(t):
+        words = [w if w in common else "" for w in WORD.findall(lower(t))]
+        return Counter(map(kind, t)), Counter(words)
+
+    def distance(p, q):
+        n, m = sum(p.values()), sum(q.values())
+        if not n or not m:
+            return 0.0
+        both = [(p[k] / n, q[k] / m) for k in {*p, *q}]
+        bits = sum(a * math.log2(2 * a / (a + b)) for a, b in both if a) + sum(b * math.log2(2 * b / (a + b)) for a, b in both if b)
+        return math.sqrt(max(bits, 0) / 2)
+
+    found = [(base_rules(t)[-1], *histograms(t or "")) for _, t, _ in rows]
+    by = defaultdict(lambda: (Counter(), Counter()))
+    for (_, _, lang), (failed, chars, words) in zip(rows, found):
+        if not failed:
+            for key in {lang or "", None}:  # None: all languages
+                by[key][0].update(chars)
+                by[key][1].update(words)
+    out = []
+    for (_, _, lang), (failed, chars, words) in zip(rows, found):
+        chosen = by[lang] if lang and sum(by[lang][1].values()) >= language_words else by[None]
+        a = distance(chars, chosen[0]) if sum(chars.values()) >= min_chars else 0.0
+        b = distance(words, chosen[1]) if sum(words.values()) >= min_words else 0.0
+        out.append((failed, round(a, 5), round(b, 5), not failed and a <= char_limit and b <= word_limit))
+    return out
+
+
 def recurring_lines(docs, least=3):
     """Kept text of each row (doc_id, text), None for a null text."""
 

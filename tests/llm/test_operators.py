@@ -228,6 +228,46 @@ def test_toxicity_of_odd_rows(spark, odd):
     assert len(none) == len(rows) and not any(g.toxic for g in none)
 
 
+def test_toxicity_by_its_formula(spark, odd):
+    """Feature counts, severity, grade and probability of each document once more, by strings and one document at a time."""
+    import math
+    import re
+
+    from orrery.llm.toxicity import PREFIXES, fit_toxicity, toxicity_scores
+
+    r = random.Random(3)
+    rows = [(i, t) for i, t in odd if i is not None] + [(1000 + i, f"{prose(r, 30)} scoundrel {prose(r, 20)} villainous {'scoundrel ' * (i % 4)} {word(r)}") for i in range(40)]
+    rows += [(1000, "another text of a labelled id")] * 50
+    labels = spark.createDataFrame([(i, int(i >= 1000)) for i in {i for i, _ in rows}], "doc_id LONG, toxic INT")
+    model = fit_toxicity(table(spark, rows), labels)
+    assert len(model.words) and (np.diff(model.thresholds) > 0).all()
+
+    def features(t):
+        import pyarrow as pa
+
+        from orrery.llm.common import slices
+        from orrery.llm.toxicity import text_features
+
+        low = plain.lower(t).encode()
+        words = re.findall(rb"[a-z\x80-\xff]+", low)
+        kinds = words + [w[:k] for k in PREFIXES for w in words if len(w) > k]
+        part = next(slices([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([t], pa.string())], ["i", "t"])], 1))
+        hashes = text_features(part)[1].tolist()
+        assert len(hashes) == len(kinds)
+        return hashes
+
+    weight = dict(zip(model.words.tolist(), model.weights.tolist()))
+    expected = []
+    for i, t in rows:
+        found = [h for h in features(t) if h in weight]
+        z = sum(weight[h] * math.log1p(found.count(h)) for h in set(found))
+        below = [1 / (1 + math.exp(-(x - z))) for x in model.thresholds] + [1.0]
+        p = [b - a for a, b in zip([0.0, *below], below)]
+        expected.append((i, len(found), round(sum(k * x for k, x in enumerate(p)), 6), max(range(4), key=lambda k: (p[k], -k)), round(1 - p[0], 6)))
+    got = [(g.doc_id, g.n_toxic_features, round(g.severity, 6), g.grade, round(g.p_toxic, 6)) for g in toxicity_scores(table(spark, rows), labels).collect()]
+    assert sorted(got) == sorted(expected)
+
+
 def test_thresholds_are_ordered():
     from orrery.llm.toxicity import Ordinal, fit_ordinal
 
@@ -370,6 +410,57 @@ def test_a_labeller_with_many_false_alarms_is_not_believed():
     assert (fit.posterior(votes[good]) < 0.5).mean() < 0.02
 
 
+def test_rates_of_labellers_with_false_alarms():
+    """Labellers that vote bad on 5 to 20 % of the good documents, and two that vote good on either class: estimates within 0.03 of the planted rates."""
+    from orrery.llm.quality import fit_labellers
+
+    r = np.random.default_rng(8)
+    n = 100_000
+    good = r.random(n) < 0.75
+    rates = [(0.6, 0.05, 0, 0), (0.7, 0.1, 0, 0), (0.5, 0.2, 0, 0), (0.55, 0.08, 0, 0), (0, 0, 0.15, 0.8), (0.1, 0.05, 0.2, 0.6)]  # bad votes on bad and good, good votes on bad and good
+    votes = []
+    for bad_on_bad, bad_on_good, good_on_bad, good_on_good in rates:
+        x = r.random(n)
+        b, g = np.where(good, bad_on_good, bad_on_bad), np.where(good, good_on_good, good_on_bad)
+        votes.append(np.where(x < b, -1, np.where(x < b + g, 1, 0)))
+    patterns, counts = np.unique(np.stack(votes, 1), axis=0, return_counts=True)
+    fit = fit_labellers(patterns, counts)
+    assert abs(fit.good - 0.75) < 0.03
+    for j, (a, b, c, d) in enumerate(rates):
+        assert np.abs(fit.table[j, :, [0, 2]] - [[a, b], [c, d]]).max() < 0.03, (j, fit.table[j])
+
+
+def test_weak_labels_and_scores_by_their_formulae(spark, corpus):
+    """Posterior and score of each document once more, from the fitted numbers, one document and one vote at a time."""
+    import math
+
+    import pyarrow as pa
+
+    from orrery.llm.common import slices
+    from orrery.llm.quality import features, fit_quality, quality_scores, votes
+
+    df = table(spark, corpus)
+    labels, scorer = fit_quality(df)
+    got = {g.doc_id: g for g in quality_scores(df).collect()}
+    for i, t in corpus:
+        part = next(slices([pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t], pa.string())], ["i", "t"])], 1))
+        matrix, parsed = votes(part)
+        odds = math.log(labels.good / (1 - labels.good)) + sum(math.log(labels.table[j, 1, v + 1] / labels.table[j, 0, v + 1]) for j, v in enumerate(matrix[0]))
+        z = scorer.bias + sum(scorer.weights[b] * x for _, b, x in zip(*features(parsed, part.data, 1)))
+        assert got[i].weak_label == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-6) and got[i].quality == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+
+
+def test_the_sample_is_drawn_by_id_and_text(spark):
+    """Null ids, one repeated row and one repeated id do not fill or empty the sample."""
+    from orrery.llm.quality import fit_quality
+
+    r = random.Random(17)
+    texts = [prose(r, 70) for _ in range(300)] + ["$$$ ### || ^^ ~~ {} [] ++ == ** && %% @@ <> !! " * 4] * 100
+    for ids in ([None] * 400, [7] * 400, range(400)):
+        labels, scorer = fit_quality(spark.createDataFrame(list(zip(ids, texts)), "doc_id LONG, text STRING"), sample=100)
+        assert np.abs(scorer.weights).sum() > 0 and 0.5 < labels.good < 0.9
+
+
 def test_labellers_vote_good_too():
     import pyarrow as pa
 
@@ -388,10 +479,20 @@ def test_substring_dedup(spark, request, which):
     from orrery.llm.substrings import drop_substrings
 
     rows = request.getfixturevalue(which)
-    for width in (13, 4):
+    for width, start in ((13, 7), (13, 2), (4, 7)):
         expected = plain.substring_dedup(rows, width)
         assert sum(e[1] for e in expected) > 100
-        same_rows(drop_substrings(table(spark, rows), width=width), ["doc_id", "n_words", "n_removed", "kept_sha256"], [(i, *e) for (i, _), e in zip(rows, expected)])
+        same_rows(drop_substrings(table(spark, rows), width=width, start=start), ["doc_id", "n_words", "n_removed", "kept_sha256"], [(i, *e) for (i, _), e in zip(rows, expected)])
+
+
+def test_levels_double_until_nothing_survives(spark):
+    from orrery.llm.substrings import candidates, levels
+
+    assert levels(13, 2) == [2, 4, 8] and levels(13, 7) == [7] and levels(4, 7) == [4] and levels(16, 2) == [2, 4, 8]
+    rows = [(1, "a b c d e f g h i j k l m n o p"), (2, "a b c d e f g h i j k l m n o p"), (3, "a b c d e f 1 2 3 4 5 6 7 8 9"), (4, "a b 21 c d 22 23 24 25 26 27 28 29")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").withColumn("key", F.col("doc_id"))
+    alive = {n: {r.key for r in candidates(docs, 13, 2)[0].collect()} if n == 8 else {r.key for r in candidates(docs, 2 * n, n)[0].collect()} for n in (2, 8)}
+    assert alive[8] == {1, 2} and {1, 2, 3} <= alive[2]
 
 
 # op7
@@ -490,6 +591,8 @@ def test_licenses_within_longer_texts(spark):
     for i, (_, name, dice) in texts.items():
         assert (got[i].license, got[i].n_units) == (name, 1) and (got[i].dice == dice if dice else 0.9 < got[i].dice < 1), got[i]
     assert all(got[i].license is None and got[i].n_units == 0 for i in clean), [got[i] for i in clean]
+    marks = [(20, "MIT License"), (21, "# The MIT License\n" + prose(r, 50)), (22, "// SPDX-License-Identifier: MIT\n" + prose(r, 200)), (23, around("see SPDX-License-Identifier: BSD-3-Clause here", " ")), (24, around("we read of the MIT License today", " ")), (25, "This work is licensed under a Creative Commons Attribution 4.0 International License.")]
+    assert [g.license for g in license_scan(table(spark, marks)).orderBy("doc_id").collect()] == ["MIT", "MIT", "MIT", "BSD-3-Clause", None, "CC-BY-4.0"]
     twice = license_scan(table(spark, [(1, around(apart) + "\n\n" + around(wrapped))])).first()
     assert twice.licenses == ["ISC", "MIT"] and twice.n_units == 2
 
@@ -503,6 +606,20 @@ def test_quality_rules(spark, odd):
     assert got.where("kept and base_failed").count() == 0
 
 
+def test_verdicts_of_the_rules(spark, odd):
+    """Distances and verdict once more, by counting characters and words one document at a time."""
+    from orrery.llm import rules
+
+    r = random.Random(61)
+    rows = [(i, t, ["en", "de", None, ""][k % 4]) for k, (i, t) in enumerate(odd)] + [(3000 + i, " ".join(r.choice(rules.COMMON["de"].split() + ["Wort", "Stadt", "Fluss"]) for _ in range(900)), "de") for i in range(4)]
+    rows += [(4000, "7% & 8% " * 300 + " ".join(f"w{i}" for i in range(900)), "de"), (4001, " ".join(word(r) for _ in range(3000)), "xx")]
+    expected = plain.rule_verdicts(rows, rules.WORDS, rules.MIN_CHARS, rules.MIN_WORDS, rules.LANGUAGE_WORDS, rules.CHAR_LIMIT, rules.WORD_LIMIT)
+    got = rules.quality_rules(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING").repartition(3))
+    assert len({e[3] for e in expected}) == 2
+    order = lambda x: sorted(x, key=repr)
+    assert order((g.doc_id, round(g.char_distance, 5), round(g.word_distance, 5), g.kept) for g in got.collect()) == order((i, *e[1:]) for (i, _, _), e in zip(rows, expected))
+
+
 def test_every_language_has_its_own_reference(spark):
     """More languages than any fixed number: each has words of one letter of its own, and a text is near its own language only."""
     from orrery.llm.rules import distance, quality_rules
