@@ -1,7 +1,7 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 A line is a row of tokens; one that holds a digit, an at sign or a slash is masked. The tree has a fixed
-depth: the number of tokens, then the first DEPTH of them. In a leaf a token is fixed at its place if
+depth: the number of tokens, then the first of them, two in short lines and four in long ones. In a leaf a token is fixed at its place if
 min_docs texts or more hold it there; at all other places stands a variable field. A line of which half
 the tokens or more are fixed belongs to the template of its fixed tokens; a line with fewer is like
 nothing else in its leaf and has no template.
@@ -27,21 +27,29 @@ BLANK = r"[ \t\x0B\f\r]"
 TOKEN = r"[^ \t\x0B\f\r]"
 #: A token with a variable part. Anchored at the token's begin and without backtracking: linear in its length.
 VARIABLE = rf"(?<!{TOKEN})[^ \t\x0B\f\r0-9@/]*+[0-9@/]{TOKEN}*+"
-#: Leading tokens that lead to a leaf, besides the number of tokens.
-DEPTH = 2
+#: Leading tokens that lead to a leaf, besides the number of tokens: in lines of fewer than LONG tokens, and in others.
+DEPTH, LONG_DEPTH, LONG = 2, 4, 12
 MIN_DOCS = 3
 #: Fewer tokens do not tell a copy from a text made of boilerplate.
 SHORT = 20
 COPIED = 85
 
 
-def _line(line: Column) -> Column:
-    """The place of a line in the tree: hash of all its masked tokens, of its leaf, and of each token. Without tokens the hashes are 0."""
+def _depth(n: Column) -> Column:
+    return F.when(n < LONG, F.least(n, F.lit(DEPTH))).otherwise(F.lit(LONG_DEPTH))
+
+
+def _tokens(line: Column) -> Column:
+    """Masked tokens of a line that has some."""
     masked = F.when(line.rlike("[0-9@/]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
-    tokens = F.filter(F.split(masked, f"{BLANK}+"), lambda t: t != "")
-    hashed = lambda t: F.struct(F.xxhash64(t).alias("path"), F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)).alias("leaf"), F.transform(t, lambda x: F.hash(x)).alias("tokens"))
-    none = F.struct(F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("leaf"), F.array().cast("array<int>").alias("tokens"))
-    return F.when(line.rlike(TOKEN), F.element_at(F.transform(F.array(tokens), hashed), 1)).otherwise(none)
+    return F.split(F.btrim(masked, F.lit(" \t\x0b\f\r")), f"{BLANK}+")
+
+
+def _line(line: Column) -> Column:
+    """The place of a line in the tree: hash of all its masked tokens, hash of its leaf, number of tokens. All are 0 without tokens."""
+    hashed = lambda t: F.struct(F.xxhash64(t).alias("path"), F.xxhash64(F.size(t), F.slice(t, F.lit(1), _depth(F.size(t)))).alias("leaf"), F.size(t).alias("n"))
+    none = F.struct(F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("leaf"), F.lit(0).alias("n"))
+    return F.when(line.rlike(TOKEN), F.element_at(F.transform(F.array(_tokens(line)), hashed), 1)).otherwise(none)
 
 
 def _keys(text: str) -> dict[str, Column]:
@@ -50,25 +58,30 @@ def _keys(text: str) -> dict[str, Column]:
     return {"k1": F.when(some, F.xxhash64(text)), "k2": F.when(some, F.hash(text))}
 
 
-def _templates(lines: DataFrame, min_docs: int) -> DataFrame:
-    """path, template (null for none), n_same: the tokens that another text has there too. lines: k1, k2, path, leaf, tokens."""
-    real = lines.where("path <> 0")
-    texts = real.select("path", "leaf", F.size("tokens").alias("n"), "k1", "k2").distinct().groupBy("path", "leaf", "n").agg(F.count("*").alias("texts"))
+def _templates(row: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
+    """path, template (null for none), n_same: the tokens that another text has there too. row: k1, k2, text; lines: k1, k2, line, path, leaf, n."""
+    one = F.min(F.struct("k1", "k2", "line")).alias("at")
+    texts = lines.groupBy("path", "leaf", "n", "k1", "k2").agg(F.min("line").alias("line")).groupBy("path", "leaf", "n").agg(F.count("*").alias("texts"), one)
     texts = written(texts, "paths")
-    leaves = texts.groupBy("leaf").agg(F.sum("texts").alias("in_leaf")).where("in_leaf >= 2")
-    tokens = real.select("path", "leaf", "tokens").join(leaves, "leaf").groupBy("path", "in_leaf").agg(F.first("tokens").alias("tokens"))
-    rest = F.slice("tokens", DEPTH + 1, F.greatest(F.size("tokens"), F.lit(1)))
-    places = texts.join(tokens, "path").select("path", "leaf", "n", "texts", "in_leaf", F.posexplode_outer(rest).alias("place", "token"))
-    places = written(places, "places")
+    leaves = texts.groupBy("leaf").agg(F.sum("texts").alias("in_leaf"), F.count("*").alias("paths"))
+    # a line that is alone in its leaf is compared with itself only
+    alone = leaves.where("paths = 1 and in_leaf >= 2").join(texts, "leaf").select("path", F.when(F.col("texts") >= min_docs, F.col("path")).alias("template"), F.col("n").alias("n_same"))
+    mixed = written(texts.join(leaves.where("paths > 1"), "leaf").select("path", "leaf", "n", "texts", "in_leaf", "at"), "mixed")
+    wanted = mixed.select("at.*", "path").groupBy("k1", "k2").agg(F.collect_list(F.struct("line", "path")).alias("wanted"))
+    found = row.join(wanted, ["k1", "k2"]).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("at")).select("at.path", _tokens(F.get("lines", "at.line")).alias("tokens"))
+    rest = F.slice("tokens", _depth(F.size("tokens")) + 1, F.greatest(F.size("tokens"), F.lit(1)))
+    found = found.select("path", F.transform(rest, lambda t: F.hash(t)).alias("rest")).distinct()  # equal texts bring a line again
+    places = written(mixed.drop("at").join(found, "path").select("path", "leaf", "n", "texts", "in_leaf", F.posexplode_outer("rest").alias("place", "token")), "places")
     held = places.where("token is not null").groupBy("leaf", "place", "token").agg(F.sum("texts").alias("held")).where("held >= 2")
     marked = places.join(held, ["leaf", "place", "token"], "left")
     fixed = F.when(F.col("held") >= min_docs, F.struct("place", "token"))
     own = marked.groupBy("path", "leaf", "n", "in_leaf").agg(F.sort_array(F.collect_list(fixed)).alias("fixed"), F.count("held").cast("int").alias("same"))
-    head = F.least("n", F.lit(DEPTH))
+    head = _depth(F.col("n"))
     n_fixed = F.when(F.col("in_leaf") >= min_docs, head + F.size("fixed")).otherwise(0)
     template = F.when(n_fixed == F.col("n"), F.col("path")).when(2 * n_fixed >= F.col("n"), F.xxhash64("leaf", "fixed"))
-    out = written(own.select("path", "n", template.alias("template"), (head + F.col("same")).alias("n_same")).where("2 * n_same >= n").drop("n"), "templates")
-    discard(texts, places)
+    like = own.select("path", "n", template.alias("template"), (head + F.col("same")).alias("n_same")).where("2 * n_same >= n").drop("n")
+    out = written(like.union(alone), "templates")
+    discard(texts, mixed, places)
     return out
 
 
@@ -76,12 +89,13 @@ def recurring_lines(df: DataFrame, text_col: str = "text", min_docs: int = MIN_D
     """k1, k2 (of a text), cut: the numbers of its lines, from 0 on, that belong to recurring templates."""
     row = df.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).withColumns(_keys("text"))
     parsed = written(row.select("k1", "k2", F.transform(F.split("text", "\n"), _line).alias("lines")), "lines")
-    lines = parsed.select("k1", "k2", F.posexplode("lines").alias("line", "at")).select("k1", "k2", "line", "at.*")
-    templates = _templates(lines, min_docs)
-    hits = written(lines.where("path <> 0").select("k1", "k2", "line", "path").join(templates, "path").select("k1", "k2", "line", "template", "n_same"), "template-lines")
-    sizes = parsed.select("k1", "k2", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.size(x["tokens"])).alias("n"))
+    lines = parsed.select("k1", "k2", F.posexplode("lines").alias("line", "at")).select("k1", "k2", "line", "at.*").where("n > 0")
+    templates = _templates(row, lines, min_docs)
+    hits = written(lines.select("k1", "k2", "line", "path").join(templates, "path").select("k1", "k2", "line", "template", "n_same"), "template-lines")
+    sizes = parsed.select("k1", "k2", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n"))
     # rows of equal texts add the same to either sum
-    copies = hits.groupBy("k1", "k2").agg(F.sum("n_same").alias("same")).join(sizes.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), ["k1", "k2"]).where((100 * F.col("same") >= COPIED * F.col("n")) & (F.col("n") >= SHORT * F.col("rows"))).select("k1", "k2", F.lit(1).alias("copy"))
+    both = hits.groupBy("k1", "k2").agg(F.sum("n_same").alias("same")).join(sizes.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), ["k1", "k2"])
+    copies = both.where((100 * F.col("same") >= COPIED * F.col("n")) & (F.col("n") >= SHORT * F.col("rows"))).select("k1", "k2", F.lit(1).alias("copy"))
     held = hits.where("template is not null").select("template", "k1", "k2").distinct().join(copies, ["k1", "k2"], "left")
     recurring = held.groupBy("template").agg(F.count("*").alias("texts"), F.count("copy").alias("copies")).where((F.col("texts") >= min_docs) & (F.col("texts") >= 2 * F.col("copies"))).select("template")
     cut = written(hits.join(recurring, "template").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("line")).alias("cut")), "cut-lines")
@@ -124,19 +138,19 @@ WITH split AS (
 parsed AS (
   SELECT text, i, line, list_filter(regexp_split_to_array(regexp_replace(line, '[^ \t\x0B\f\r]*[0-9@/][^ \t\x0B\f\r]*', '<*>', 'g'), '[ \t\x0B\f\r]+'), lambda t: t <> '') AS tokens FROM split),
 kinds AS (
-  SELECT tokens, len(tokens) AS n, tokens[1:2] AS head, count(DISTINCT text) AS texts FROM parsed WHERE len(tokens) > 0 GROUP BY ALL),
+  SELECT tokens, len(tokens) AS n, tokens[1:CASE WHEN len(tokens) < 12 THEN 2 ELSE 4 END] AS head, count(DISTINCT text) AS texts FROM parsed WHERE len(tokens) > 0 GROUP BY ALL),
 leaves AS (
   SELECT n, head, sum(texts) AS in_leaf FROM kinds GROUP BY ALL),
 places AS (
-  SELECT tokens, n, head, texts, p, tokens[p] AS token FROM kinds, unnest(range(3, n + 1)) AS t(p)),
+  SELECT tokens, n, head, texts, p, tokens[p] AS token FROM kinds, unnest(range(len(head) + 1, n + 1)) AS t(p)),
 held AS (
   SELECT n, head, p, token, sum(texts) AS held FROM places GROUP BY ALL),
 ends AS (
   SELECT places.tokens, count(*) FILTER (WHERE held >= 2) AS same, count(*) FILTER (WHERE held >= 3) AS fixed, string_agg(CASE WHEN held >= 3 THEN token ELSE chr(1) END, ' ' ORDER BY p) AS more
   FROM places JOIN held USING (n, head, p, token) GROUP BY places.tokens),
 templates AS (
-  SELECT tokens, least(n, 2) + coalesce(same, 0) AS n_same, CASE WHEN in_leaf >= 3 AND 2 * (least(n, 2) + coalesce(fixed, 0)) >= n THEN concat_ws(' ', n, array_to_string(head, ' '), more) END AS template
-  FROM kinds JOIN leaves USING (n, head) LEFT JOIN ends USING (tokens) WHERE in_leaf >= 2 AND 2 * (least(n, 2) + coalesce(same, 0)) >= n),
+  SELECT tokens, len(head) + coalesce(same, 0) AS n_same, CASE WHEN in_leaf >= 3 AND 2 * (len(head) + coalesce(fixed, 0)) >= n THEN concat_ws(' ', n, array_to_string(head, ' '), more) END AS template
+  FROM kinds JOIN leaves USING (n, head) LEFT JOIN ends USING (tokens) WHERE in_leaf >= 2 AND 2 * (len(head) + coalesce(same, 0)) >= n),
 hits AS (
   SELECT text, i, template, n_same FROM parsed JOIN templates USING (tokens)),
 copies AS (

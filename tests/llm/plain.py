@@ -163,7 +163,8 @@ def recurring_lines(docs, least=3):
         return tuple(x for x in re.split(r"[ \t\x0B\f\r]+", re.sub(r"[^ \t\x0B\f\r]*[0-9@/][^ \t\x0B\f\r]*", "<*>", line)) if x)
 
     texts = {t: [tokens(x) for x in t.split("\n")] for t in {t for _, t in docs if t is not None}}
-    leaf_of = lambda line: (len(line), line[:2])
+    depth = lambda line: min(len(line), 2) if len(line) < 12 else 4
+    leaf_of = lambda line: (len(line), line[: depth(line)])
     holders = defaultdict(set)
     for t, lines in texts.items():
         for line in lines:
@@ -171,12 +172,11 @@ def recurring_lines(docs, least=3):
     in_leaf, held = Counter(), Counter()
     for line, by in holders.items():
         in_leaf[leaf_of(line)] += len(by)
-        for i, x in enumerate(line[2:]):
+        for i, x in enumerate(line):
             held[leaf_of(line), i, x] += len(by)
 
     def known(line, n):  # which tokens are known at their places in n texts
-        head = min(len(line), 2) if in_leaf[leaf_of(line)] >= n else 0
-        return [i < head if i < 2 else head > 0 and held[leaf_of(line), i - 2, x] >= n for i, x in enumerate(line)]
+        return [in_leaf[leaf_of(line)] >= n and (i < depth(line) or held[leaf_of(line), i, x] >= n) for i, x in enumerate(line)]
 
     def template(line):
         at = known(line, least)
