@@ -33,6 +33,7 @@ MIN_DOCS = 3
 #: Fewer tokens do not tell a copy from a text made of boilerplate.
 SHORT = 20
 COPIED = 85
+SALTS = 16
 
 
 def _depth(n: Column) -> Column:
@@ -98,7 +99,8 @@ def recurring_lines(df: DataFrame, text_col: str = "text", min_docs: int = MIN_D
     copies = both.where((100 * F.col("same") >= COPIED * F.col("n")) & (F.col("n") >= SHORT * F.col("rows"))).select("k1", "k2", F.lit(1).alias("copy"))
     held = hits.where("template is not null").select("template", "k1", "k2").distinct().join(copies, ["k1", "k2"], "left")
     recurring = held.groupBy("template").agg(F.count("*").alias("texts"), F.count("copy").alias("copies")).where((F.col("texts") >= min_docs) & (F.col("texts") >= 2 * F.col("copies"))).select("template")
-    cut = written(hits.join(recurring, "template").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("line")).alias("cut")), "cut-lines")
+    spread = recurring.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a row for each recurring template: a hot one's lines go to SALTS tasks
+    cut = written(hits.withColumn("salt", F.pmod("k2", F.lit(SALTS))).join(spread, ["template", "salt"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("line")).alias("cut")), "cut-lines")
     discard(parsed, templates, hits)
     return cut
 
