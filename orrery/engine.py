@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -14,17 +13,19 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, StructField
 
 from .errors import ParseError, PermissionDenied, SqlError
 from .functions.scalars import quote
 from .functions.types import kind_of, kind_of_declared, spark_type
 from .operators import dml
 from .plans import syntax as s
-from .plans.lowering import Columns, Lowering, Scope, Source, display_names, ident
+from .plans.lowering import Columns, Lowering, Scope, Source, Value, display_names, ident
 from .plans.parser import parse_expression, parse_script
 from .result import QueryResult
 from .security import DatabaseSecurity, Identity, ServerSecurity
 from .sources import sysviews
+from .sources.files import SharedPath, plain_path
 from .sources.tables import LOCKS, AccessStats, Column, TableRef, TableStore, now_text
 from .streaming.pages import DEFAULT_BATCH, TableStream, open_stream
 
@@ -71,6 +72,13 @@ def run_over(spark: SparkSession, folder: str, sql: str, two_valued: bool = Fals
     return df.toDF(*display_names(columns, sources))
 
 
+def column_of(f: StructField) -> Column:
+    """A column as a file's schema has it."""
+    names = {"int": "int", "dec": "decimal", "dbl": "float", "ts": "datetime", "bool": "bit"}
+    args = [f.dataType.precision, f.dataType.scale] if isinstance(f.dataType, DecimalType) else []
+    return Column(f.name, names.get(kind_of(f.dataType), "nvarchar"), args, f.nullable, spark=f.dataType.simpleString())
+
+
 @dataclass
 class TableInfo:
     schema: str
@@ -91,16 +99,16 @@ class Engine:
     """One session. Statements of a session run one at a time; any number of sessions may share a data root."""
 
     def __init__(self, spark: SparkSession, data_root: str | os.PathLike, two_valued: bool = False) -> None:
-        self.spark, self.root, self.two_valued = spark, Path(data_root), two_valued
-        (self.root / "databases").mkdir(parents=True, exist_ok=True)
-        (self.root / "system").mkdir(parents=True, exist_ok=True)
+        self.spark, self.root, self.two_valued = spark, SharedPath(spark, data_root), two_valued
+        (self.root / "databases").mkdir()
+        (self.root / "system").mkdir()
         self.server = ServerSecurity(self.root)
         self.identity = Identity(self.server)
         self.current: str | None = None
         self._tag: str | None = None
 
     # databases
-    def _db_path(self, name: str) -> Path | None:
+    def _db_path(self, name: str) -> SharedPath | None:
         for p in (self.root / "databases").iterdir():
             if p.is_dir() and p.name.lower() == name.lower():
                 return p
@@ -112,7 +120,7 @@ class Engine:
             raise SqlError("No database selected. Run USE <database> first.")
         return self.current
 
-    def _path(self, database: str | None = None) -> Path:
+    def _path(self, database: str | None = None) -> SharedPath:
         name = database or self.database
         path = self._db_path(name)
         if path is None:
@@ -128,7 +136,8 @@ class Engine:
         return DatabaseSecurity(self._path())
 
     def database_created(self, name: str) -> datetime:
-        return datetime.fromtimestamp(int(self._path(name).stat().st_ctime))
+        mark = self._path(name) / "database.json"
+        return datetime.fromisoformat(json.loads(mark.read_text())["created"]).replace(microsecond=0, tzinfo=None) if mark.exists() else datetime.fromtimestamp(int(self._path(name).modified()))
 
     def _may_use(self, name: str) -> bool:
         return self.identity.is_admin or self.identity.user(DatabaseSecurity(self._path(name))) is not None
@@ -232,8 +241,9 @@ class Engine:
         self.spark.sparkContext.cancelJobsWithTag(tag)
 
     # tables
-    def table(self, name: str, schema: str = "dbo") -> DataFrame:
-        return self.resolve((schema, name))
+    def table(self, name: str, schema: str = "dbo", as_of: int | None = None) -> DataFrame:
+        """A table's rows; with as_of, those of that version of a Delta table."""
+        return self.resolve((schema, name), as_of)
 
     def _ref(self, name: s.Name, action: str) -> tuple[TableStore, TableRef]:
         """A table by name of one to four parts; the database part is honoured."""
@@ -248,7 +258,7 @@ class Engine:
             raise SqlError(f"Table '{'.'.join(name)}' does not exist.")
         return store, ref
 
-    def resolve(self, name: s.Name) -> DataFrame:
+    def resolve(self, name: s.Name, as_of: int | None = None) -> DataFrame:
         if len(name) > 1 and name[-2].lower() == "sys":
             found = sysviews.view(self.spark, name[-1], self)
             if found is None:
@@ -256,14 +266,20 @@ class Engine:
             return found
         store, ref = self._ref(name, "SELECT")
         AccessStats(store.root).stamp(ref.schema, ref.name)
-        return ref.read(self.spark)
+        return ref.read(self.spark, as_of)
+
+    def has_files(self, name: s.Name) -> bool:
+        """Whether rows of the table have a place in a file that a query can ask for."""
+        if len(name) > 1 and name[-2].lower() == "sys":
+            return False
+        ref = TableStore(self._path(name[-3] if len(name) > 2 else None)).find(name[-2] if len(name) > 1 else "dbo", name[-1])
+        return ref is not None and ref.kind != "delta" and not (ref.manifest and not ref.manifest.parts)
 
     def table_columns(self, schema: str, name: str) -> list[Column]:
         ref = self.store.find(schema, name)
         if ref.manifest:
             return ref.manifest.columns
-        names = {"int": "int", "dec": "decimal", "dbl": "float", "ts": "datetime", "bool": "bit"}
-        return [Column(f.name, names.get(kind_of(f.dataType), "nvarchar"), nullable=f.nullable, spark=f.dataType.simpleString()) for f in ref.read(self.spark).schema.fields]
+        return [column_of(f) for f in ref.read(self.spark).schema.fields]
 
     def get_table_info(self, table: str, schema: str = "dbo", database: str | None = None) -> TableInfo:
         before = self.current
@@ -278,10 +294,9 @@ class Engine:
             m = ref.manifest
             scope = {f"{schema}.{table}".lower(), schema.lower(), ""}
             granted = [p for p in self.security.state()["permissions"] if p["class"] == "DATABASE" or p["securable"].lower() in scope]
-            stat = ref.path.stat()
-            stamp = datetime.fromtimestamp(stat.st_mtime).isoformat()
+            stamp = datetime.fromtimestamp(ref.path.modified()).isoformat()
             return TableInfo(
-                schema, table, ref.kind, ref.read(self.spark).count(), sum(os.path.getsize(f) for f in files), len(files), m.created if m else stamp, m.changed if m else stamp,
+                schema, table, ref.kind, ref.read(self.spark).count(), sum(SharedPath(self.spark, f).size() for f in files), len(files), m.created if m else stamp, m.changed if m else stamp,
                 m.schema_changed if m else stamp, AccessStats(self.store.root).read().get(f"{schema}.{table}".lower()), self.table_columns(schema, table), granted,
             )
         finally:
@@ -296,7 +311,7 @@ class Engine:
         return open_stream(self.spark, ref, batch_size, offset, limit)
 
     # procedures
-    def _procedure_path(self, name: s.Name) -> Path:
+    def _procedure_path(self, name: s.Name) -> SharedPath:
         stem = name[-1] if len(name) < 2 or name[-2].lower() == "dbo" else f"{name[-2]}.{name[-1]}"
         folder = self._path() / "procedures"
         return next((p for p in folder.glob("*.json") if p.stem.lower() == stem.lower()), folder / f"{stem}.json")
@@ -354,7 +369,23 @@ class _Run:
         df = self.spark.sql(out.sql)
         return df, display_names(out.columns, out.sources)
 
+    def _select_into(self, name: s.Name, query: Any) -> QueryResult:
+        """A new table with the columns of the query's result."""
+        e = self.engine
+        schema, table = name[-2] if len(name) > 1 else "dbo", name[-1]
+        if e.security.schema(schema) is None:
+            raise SqlError(f"Schema '{schema}' does not exist.")
+        e.identity.require(e.security, "ALTER", schema, table)
+        df, names = self.frame(query)
+        df = df.toDF(*names)
+        e.store.create(schema, table, [column_of(f) for f in df.schema.fields])
+        ref = e.store.find(schema, table)
+        return QueryResult(message=f"{dml.append(e.store, ref, df)} row(s) inserted into [{table}].")
+
     def _selectstatement(self, st: s.SelectStatement) -> QueryResult:
+        body = st.query.body if isinstance(st.query, s.With) else st.query
+        if isinstance(body, s.Select) and body.into:
+            return self._select_into(body.into, st.query)
         df, names = self.frame(st.query)
         df = df.toDF(*names)
         rows = [dict(zip(names, r)) for r in df.collect()]
@@ -365,7 +396,10 @@ class _Run:
         sql, kind = self.lowering().value(e, Scope())
         return self.spark.sql(f"SELECT {sql} AS v").first().v
 
-    def literal(self, value: Any, kind: s.TypeName) -> tuple[str, str]:
+    def literal(self, value: Any, kind: s.TypeName) -> Value:
+        return Value(self._literal(value, kind), value)
+
+    def _literal(self, value: Any, kind: s.TypeName) -> tuple[str, str]:
         k = kind_of_declared(kind)
         if value is None:
             return f"CAST(NULL AS {'BOOLEAN' if k == 'bool' else spark_type(kind)})", k
@@ -414,7 +448,8 @@ class _Run:
             raise SqlError(f"Database '{st.name}' already exists.")
         path = e.root / "databases" / st.name
         for folder in ("tables", "views", "procedures", "functions", "security", "users", "parquet"):
-            (path / folder).mkdir(parents=True)
+            (path / folder).mkdir()
+        (path / "database.json").write_text(json.dumps({"created": now_text()}))
         if e.identity.login:
             db = DatabaseSecurity(path)
             db.create_user(e.identity.login, e.identity.login)
@@ -501,7 +536,7 @@ class _Run:
             try:
                 n = dml.append(store, ref, dml.completed(rows, given, columns, defaults, computed, ref.manifest.identity, str(scratch)))
             finally:
-                shutil.rmtree(scratch, ignore_errors=True)
+                scratch.remove_tree()
         return QueryResult(message=f"{n} row(s) inserted into [{ref.name}].")
 
     def _stored(self, low: Lowering, value: tuple[str, str], c: Column) -> str:
@@ -532,30 +567,53 @@ class _Run:
             ref = store.find(ref.schema, ref.name)
             if not ref.manifest.parts:
                 return QueryResult(message=f"0 row(s) updated in [{ref.name}].")
-            target = ref.read(self.spark).select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("__row"))
+            place = F.struct("_metadata.file_path", "_metadata.row_index")
+            target = ref.read(self.spark).select("*", place.alias("__row"))
+            others = [x for x in self._tables_of(joins) if x.name != name]
 
             def resolve(n: s.Name) -> DataFrame:
-                return target if n == name else e.resolve(n)
+                if n == name:
+                    return target
+                df = e.resolve(n)
+                return df.select("*", place.alias("__at")) if n in ordered else df
 
+            named = {c.name.lower() for c in st.ctes or []}
+            ordered = {x.name for x in others if not (len(x.name) == 1 and x.name[0].lower() in named) and e.has_files(x.name)}
             source = joins or [s.Table(name, alias if alias != name[-1] else None)]
             items = [s.Item(s.Column((alias, "__row")), "__row")] + [s.Item(v, f"__set{i}") for i, (_, v) in enumerate(sets)]
-            query = s.Select(items, source, st.where)
+            order = [s.Item(s.Column((x.alias or x.name[-1], "__at")), f"__at{i}") for i, x in enumerate(others) if x.name in ordered]
+            query = s.Select(items + order, source, st.where)
             low = self.lowering(resolve)
             texts = low.query(s.With(st.ctes, query) if st.ctes else query)
-            found = self.spark.sql(texts.sql)
-            kinds = [k for _, k in texts.columns[1:]]
+            kinds = [k for _, k in texts.columns[1 : 1 + len(sets)]]
             new = [F.expr(self._stored(low, (f"`__set{i}`", kinds[i]), c)).alias(f"__set{i}") for i, (c, _) in enumerate(sets)]
-            # several matches of a row: one of them, always the same
-            found = found.select("__row", F.struct(*new).alias("__new")).groupBy("__row").agg(F.max("__new").alias("__new"))
-            place = {c.name: i for i, (c, _) in enumerate(sets)}
-            joined = target.join(found, "__row", "left")
-            hit = F.col("__new").isNotNull()
-            out = joined.select(*(F.when(hit, F.col(f"__new.__set{place[c.name]}")).otherwise(F.col(f"`{c.name}`")).alias(c.name) if c.name in place else F.col(f"`{c.name}`") for c in columns), hit.alias("__hit"))
-            n = found.count()
-            if n:
-                dml.replace(store, ref, dml.with_computed(out.drop("__hit"), columns, computed))
+            last = F.struct(*(x.alias for x in order), "__new") if order else F.struct("__new")
+            found = self.spark.sql(texts.sql).select("__row", F.struct(*new).alias("__new"), *(x.alias for x in order))
+            # of several matches the last one, in the order of the joined tables' files and rows
+            found = found.groupBy("__row").agg(F.max_by("__new", last).alias("__new"))
+            scratch = store.tables / f".scratch-{uuid.uuid4().hex}"
+            try:
+                found.write.parquet(str(scratch))  # the join runs once
+                found = self.spark.read.schema(found.schema).parquet(str(scratch))
+                hits = {r.file: r.n for r in found.groupBy(F.col("__row.file_path").alias("file")).agg(F.count("*").alias("n")).collect()}  # a row for each file
+                n = sum(hits.values())
+                if n:
+                    at = {c.name: i for i, (c, _) in enumerate(sets)}
+                    joined = dml.rows_of(self.spark, ref, hits).select("*", place.alias("__row")).join(found, "__row", "left")
+                    hit = F.col("__new").isNotNull()
+                    out = joined.select(*(F.when(hit, F.col(f"__new.__set{at[c.name]}")).otherwise(F.col(f"`{c.name}`")).alias(c.name) if c.name in at else F.col(f"`{c.name}`") for c in columns))
+                    dml.replace(store, ref, hits, dml.with_computed(out, columns, computed))
+            finally:
+                scratch.remove_tree()
         return QueryResult(message=f"{n} row(s) updated in [{ref.name}].")
 
+    def _tables_of(self, sources: list) -> list[s.Table]:
+        """The tables that are joined by name, from left to right."""
+        out: list[s.Table] = []
+        for x in sources:
+            out += self._tables_of([x.left, x.right]) if isinstance(x, s.Join) else [x] if isinstance(x, s.Table) else []
+        return out
+
     def _find_target(self, sources: list, target: s.Name) -> s.Table | None:
         for x in sources:
             if isinstance(x, s.Join):
@@ -572,24 +630,34 @@ class _Run:
         ref.guard()
         with LOCKS.hold(ref.path):
             ref = store.find(ref.schema, ref.name)
-            before = ref.read(self.spark)
-            total = before.count()
             if st.where is None:
+                n = ref.read(self.spark).count()  # from the files' footers
                 store.publish(ref, [], ref.manifest.identity)
-                return QueryResult(message=f"{total} row(s) deleted from [{ref.name}].")
+                return QueryResult(message=f"{n} row(s) deleted from [{ref.name}].")
+            if not ref.manifest.parts:
+                return QueryResult(message=f"0 row(s) deleted from [{ref.name}].")
+            alias = st.alias or st.target[-1]
+            before = ref.read(self.spark).select("*", F.col("_metadata.file_path").alias("__file"))
+            chosen: list[DataFrame] = [before]
 
             def resolve(n: s.Name) -> DataFrame:
-                return before if n == st.target else e.resolve(n)
-
-            keep = s.Select([s.Item(None, star=(st.alias or st.target[-1],))], [s.Table(st.target, st.alias)], s.Logic("or", [s.Logic("not", [st.where]), _Unknown(st.where)]))
-            low = self.lowering(resolve)
-            leaf = low._leaf
-            low._leaf = lambda x, scope: (f"(({low.predicate(x.where, scope)}) IS NULL)", False) if isinstance(x, _Unknown) else leaf(x, scope)  # type: ignore[method-assign]
-            rows = self.spark.sql(low.query(s.With(st.ctes, keep) if st.ctes else keep).sql)
-            part = store.write_part(ref, rows)
-            left = self.spark.read.parquet(str(ref.path.parent / part)).count()
-            store.publish(ref, [part], ref.manifest.identity)
-        return QueryResult(message=f"{total - left} row(s) deleted from [{ref.name}].")
+                return chosen[0] if n == st.target else e.resolve(n)
+
+            def text(query: s.Select) -> str:
+                low = self.lowering(resolve)
+                leaf = low._leaf
+                low._leaf = lambda x, scope: (f"(({low.predicate(x.where, scope)}) IS NULL)", False) if isinstance(x, _Unknown) else leaf(x, scope)  # type: ignore[method-assign]
+                return low.query(s.With(st.ctes, query) if st.ctes else query).sql
+
+            source = [s.Table(st.target, st.alias)]
+            gone = self.spark.sql(text(s.Select([s.Item(s.Column((alias, "__file")), "__file")], source, st.where)))
+            hits = {r.file: r.n for r in gone.groupBy(F.col("__file").alias("file")).agg(F.count("*").alias("n")).collect()}  # a row for each file
+            if hits:  # the other files stay as they are
+                chosen[0] = before.withColumn("__hit", F.col("__file").isin(list(hits)))
+                stays = s.Logic("or", [s.Logic("not", [st.where]), _Unknown(st.where)])
+                keep = s.Select([s.Item(s.Column((alias, c.name)), c.name) for c in ref.manifest.columns], source, s.Logic("and", [s.Compare("=", s.Column((alias, "__hit")), s.Literal("int", 1)), stays]))
+                dml.replace(store, ref, hits, self.spark.sql(text(keep)))
+        return QueryResult(message=f"{sum(hits.values())} row(s) deleted from [{ref.name}].")
 
     # procedures
     def _createprocedure(self, st: s.CreateProcedure) -> QueryResult:
@@ -603,9 +671,7 @@ class _Run:
         head = st.text[: st.text.index(st.body)] if st.body else st.text
         params = head[head.find(st.name[-1]) + len(st.name[-1]) :].lstrip("]\" \n\t")
         definition = f"CREATE OR ALTER PROCEDURE {'.'.join(st.name)} {params}{st.body}"
-        temp = path.with_suffix(f".{uuid.uuid4().hex}.tmp")
-        temp.write_text(json.dumps({"name": ".".join(st.name), "definition": definition, "changed": now_text()}))
-        os.replace(temp, path)
+        path.replace_text(json.dumps({"name": ".".join(st.name), "definition": definition, "changed": now_text()}))
         return QueryResult(message=f"Procedure '{st.name[-1]}' saved.")
 
     def _dropprocedure(self, st: s.DropProcedure) -> QueryResult:

@@ -5,11 +5,14 @@ Rows never pass through the driver, but for the literal rows of INSERT VALUES.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SqlError
+from ..sources.files import plain_path
 from ..sources.tables import Column, TableRef, TableStore
 
 
@@ -81,9 +84,21 @@ def append(store: TableStore, ref: TableRef, rows: DataFrame) -> int:
     return n
 
 
-def replace(store: TableStore, ref: TableRef, rows: DataFrame) -> None:
-    """All rows anew, in one version."""
-    store.publish(ref, [store.write_part(ref, rows)], ref.manifest.identity)
+def rows_of(spark: SparkSession, ref: TableRef, files: Iterable[str]) -> DataFrame:
+    """The rows of some of the table's files, named as `_metadata.file_path` names them."""
+    wanted = {plain_path(f) for f in files}
+    return spark.read.schema(stored_schema(ref.manifest.columns)).parquet(*(f for f in ref.files() if plain_path(f) in wanted))
+
+
+def replace(store: TableStore, ref: TableRef, files: Iterable[str], rows: DataFrame) -> None:
+    """Rows in place of those of some files, in one version. All other files stay."""
+    gone, parts = {plain_path(f) for f in files}, []
+    for part in ref.manifest.parts:
+        own = ref.part_files(part)
+        left = [f for f in own if plain_path(f) not in gone]
+        folder = part if not part.endswith(".parquet") else part.rsplit("/", 1)[0]
+        parts += [part] if len(left) == len(own) else [f"{folder}/{f.rsplit('/', 1)[-1]}" for f in left]
+    store.publish(ref, [*parts, store.write_part(ref, rows)], ref.manifest.identity)
 
 
 def cast_check(given: int, wanted: int) -> None:

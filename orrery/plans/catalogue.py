@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..engine import run_over
 from ..operators.column_math import Predicate, column_count, column_sum
-from . import scenarios
+from . import scenarios, surfaces
 
 FLAGSHIP = "pricing_summary"
 
@@ -144,6 +144,76 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)",
         "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)",
     ),
+    "cube": (
+        "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY CUBE(o_orderstatus, o_orderpriority)",
+        "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE(o_orderstatus, o_orderpriority)",
+    ),
+    "grouping_sets": (
+        "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, MAX(o_totalprice) AS most FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())",
+        "SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())",
+    ),
+    "statistics": (
+        "SELECT l_returnflag, ROUND(STDEV(l_quantity), 6) AS sd, ROUND(STDEVP(l_quantity), 6) AS sdp, ROUND(VAR(l_discount), 8) AS v, ROUND(VARP(l_discount), 8) AS vp FROM lineitem GROUP BY l_returnflag",
+        "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(stddev_pop(l_quantity), 6) AS sdp, round(var_samp(l_discount), 8) AS v, round(var_pop(l_discount), 8) AS vp FROM lineitem GROUP BY l_returnflag",
+    ),
+    "string_agg": (
+        "SELECT n_regionkey, STRING_AGG(n_name, ', ') WITHIN GROUP (ORDER BY n_name DESC) AS names, STRING_AGG(DISTINCT LEFT(n_name, 1), '') AS letters, STRING_AGG(n_name, '/') AS plain FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name DESC) AS names, array_to_string(list_sort(list_distinct(list(left(n_name, 1)))), '') AS letters, string_agg(n_name, '/' ORDER BY n_name) AS plain FROM nation GROUP BY n_regionkey",
+    ),
+    "window_ranks": (
+        """SELECT o_orderkey, DENSE_RANK() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS dr, NTILE(4) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS quarter, FIRST_VALUE(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS first,
+           LAST_VALUE(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last, LEAD(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS after FROM orders""",
+        """SELECT o_orderkey, dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS dr, ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey)::INT AS quarter, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS first,
+           last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last, lead(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS after FROM orders""",
+    ),
+    "window_frames": (
+        "SELECT o_orderkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS run, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later, MAX(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS sofar FROM orders",
+        "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS run, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS sofar FROM orders",
+    ),
+    "window_in_expression": (
+        "SELECT o_orderkey, ROUND(100 * o_totalprice / SUM(o_totalprice) OVER (PARTITION BY o_custkey), 3) AS share, CASE WHEN ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1 THEN 'best' ELSE 'other' END AS kind FROM orders",
+        "SELECT o_orderkey, round(100 * o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 3) AS share, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1 THEN 'best' ELSE 'other' END AS kind FROM orders",
+    ),
+    "top_with_ties": (
+        "SELECT TOP (40) WITH TIES p_partkey, p_size FROM part WHERE p_size > 3 ORDER BY p_size DESC",
+        "SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, rank() OVER (ORDER BY p_size DESC) AS r FROM part WHERE p_size > 3) WHERE r <= 40",
+    ),
+    "set_operation_order": (
+        "SELECT n_nationkey AS k, n_name AS name FROM nation UNION SELECT r_regionkey, r_name FROM region ORDER BY name DESC, k OFFSET 3 ROWS FETCH NEXT 9 ROWS ONLY",
+        "SELECT k, name FROM (SELECT n_nationkey AS k, n_name AS name FROM nation UNION SELECT r_regionkey, r_name FROM region) ORDER BY name DESC, k LIMIT 9 OFFSET 3",
+    ),
+    "set_operation_nested": (
+        "(SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 UNION SELECT s_suppkey FROM supplier) EXCEPT (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
+        "(SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 UNION SELECT s_suppkey FROM supplier) EXCEPT (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
+    ),
+    "derived_correlated": (
+        "SELECT c_custkey, (SELECT MAX(d.p) FROM (SELECT o_totalprice AS p FROM orders WHERE o_custkey = c.c_custkey AND o_orderstatus <> 'P') AS d) AS most FROM customer c",
+        "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c.c_custkey AND o_orderstatus <> 'P') AS most FROM customer c",
+    ),
+    "subquery_places": (
+        """SELECT o_custkey, COUNT(*) AS n, CASE WHEN MAX(o_totalprice) > (SELECT AVG(o_totalprice) FROM orders) THEN 'above' ELSE 'below' END AS side FROM orders GROUP BY o_custkey
+           HAVING SUM(o_totalprice) > (SELECT 20 * AVG(o_totalprice) FROM orders) OR COUNT(*) = (SELECT COUNT(*) FROM region) ORDER BY (SELECT MIN(r_regionkey) FROM region), o_custkey""",
+        """SELECT o_custkey, count(*) AS n, CASE WHEN max(o_totalprice) > (SELECT avg(o_totalprice) FROM orders) THEN 'above' ELSE 'below' END AS side FROM orders GROUP BY o_custkey
+           HAVING sum(o_totalprice) > (SELECT 20 * avg(o_totalprice) FROM orders) OR count(*) = (SELECT count(*) FROM region)""",
+    ),
+    "session_functions": (
+        "SELECT r_name, SCHEMA_NAME() AS s, USER_NAME() AS u, OBJECT_NAME('region') AS o, DATEDIFF(DAY, GETDATE(), SYSDATETIME()) AS d, DATEDIFF(HOUR, GETUTCDATE(), SYSUTCDATETIME()) AS h, CASE WHEN CURRENT_TIMESTAMP >= '2020-01-01' THEN 1 ELSE 0 END AS now, ISNULL(OBJECT_ID('x'), -1) AS id FROM region",
+        "SELECT r_name, 'dbo' AS s, 'dbo' AS u, 'region' AS o, 0::BIGINT AS d, 0::BIGINT AS h, 1 AS now, -1 AS id FROM region",
+    ),
+    "more_date_parts": (
+        "SELECT o_orderkey, DATEDIFF(QUARTER, '1990-02-01', o_orderdate) AS q, DATEDIFF(MINUTE, '1992-01-01', DATEADD(SECOND, 90, o_orderdate)) AS mi, DATEDIFF(SECOND, o_orderdate, DATEADD(MINUTE, 3, o_orderdate)) AS ss, DATEADD(WEEK, 2, o_orderdate) AS w, DATEADD(QUARTER, 1, o_orderdate) AS nq FROM orders",
+        "SELECT o_orderkey, date_diff('quarter', TIMESTAMP '1990-02-01', o_orderdate) AS q, date_sub('minute', TIMESTAMP '1992-01-01', o_orderdate + INTERVAL 90 SECOND) AS mi, 180::BIGINT AS ss, o_orderdate + INTERVAL 14 DAY AS w, o_orderdate + INTERVAL 3 MONTH AS nq FROM orders",
+    ),
+    "null_inputs": (
+        """SELECT c.c_custkey, LEN(o.o_orderstatus) AS n, UPPER(o.o_orderstatus) AS u, LEFT(o.o_orderstatus, 1) + '!' AS l, CONCAT('<', o.o_orderstatus, '>') AS cc, DATALENGTH('ab') AS dl, ABS(o.o_totalprice) AS a, YEAR(o.o_orderdate) AS y, REPLACE(o.o_orderpriority, '-', '') AS r
+           FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 250000""",
+        """SELECT c.c_custkey, length(o.o_orderstatus)::INT AS n, upper(o.o_orderstatus) AS u, left(o.o_orderstatus, 1) || '!' AS l, concat('<', o.o_orderstatus, '>') AS cc, 2 AS dl, abs(o.o_totalprice) AS a, year(o.o_orderdate)::INT AS y, replace(o.o_orderpriority, '-', '') AS r
+           FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 250000""",
+    ),
+    "escaped_wildcards": (
+        "SELECT p_partkey, CASE WHEN REPLACE(p_type, ' ', '_') LIKE '%!_A%' ESCAPE '!' THEN 1 ELSE 0 END AS a, CASE WHEN REPLACE(p_name, 'a', '%') LIKE '%!%%!%%' ESCAPE '!' THEN 1 ELSE 0 END AS two FROM part",
+        "SELECT p_partkey, CASE WHEN replace(p_type, ' ', '_') LIKE '%!_A%' ESCAPE '!' THEN 1 ELSE 0 END AS a, CASE WHEN replace(p_name, 'a', '%') LIKE '%!%%!%%' ESCAPE '!' THEN 1 ELSE 0 END AS two FROM part",
+    ),
     "row_number_partition": (
         "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders",
         "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders",
@@ -216,10 +286,6 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT p_partkey, p_size / 7 AS q, p_size % 7 AS r, (p_size + 1) / 2.0 AS h, p_partkey / 3 * 3 AS k FROM part",
         "SELECT p_partkey, p_size // 7 AS q, p_size % 7 AS r, ((p_size + 1) / 2.0)::DECIMAL(20,6) AS h, p_partkey // 3 * 3 AS k FROM part",
     ),
-    "variables_top": (
-        "SELECT TOP (2 * 5) p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey",
-        "SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 10",
-    ),
     "typed_comparison": (
         "SELECT event_id FROM events WHERE ts >= '2024-01-10' AND event_id < '5000' AND CAST(event_id % 2 AS BIT) = 1",
         "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND event_id < 5000 AND event_id % 2 = 1",
@@ -246,10 +312,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _over(sql) for name, (sql, _) in PAIRS.items()} | {"column_math": column_math} | scenarios.QUERIES
+    return {name: _over(sql) for name, (sql, _) in PAIRS.items()} | {"column_math": column_math} | scenarios.QUERIES | surfaces.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in PAIRS.items()} | {
         "column_math": "SELECT round((SELECT sum(l_quantity) FROM lineitem WHERE l_quantity >= 25), 2) AS total, (SELECT count(*) FROM lineitem WHERE l_discount = 0.05) AS n"
-    } | scenarios.ORACLE_SQL
+    } | scenarios.ORACLE_SQL | surfaces.ORACLE_SQL

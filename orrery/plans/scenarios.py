@@ -10,7 +10,6 @@ import json
 import tempfile
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +21,11 @@ from ..errors import SqlError
 def fresh_engine(spark: SparkSession) -> Engine:
     """An engine with an empty database `work`, in a folder that driver and executors share."""
     top = spark.conf.get("spark.checkpoint.dir", None)
-    folder = Path(top.removeprefix("file://")) / f"work-{uuid.uuid4().hex}" if top and (top.startswith("file://") or top.startswith("/")) else Path(tempfile.mkdtemp(prefix="orrery-"))
-    engine = Engine(spark, folder)
+    if not top:
+        if not spark._jsc.sc().isLocal():
+            raise SqlError("Set spark.checkpoint.dir to a folder that driver and executors share.")
+        top = tempfile.mkdtemp(prefix="orrery-")
+    engine = Engine(spark, f"{top.rstrip('/')}/work-{uuid.uuid4().hex}")
     run(engine, "CREATE DATABASE work; USE work")
     return engine
 
@@ -98,7 +100,7 @@ def delta_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     for r in range(5):
         folder = path / f"n_regionkey={r}"
         nations.where(F.col("n_regionkey") == r).drop("n_regionkey").coalesce(1).write.parquet(str(folder))
-        adds += [{"add": {"path": f"n_regionkey={r}/{f.name}", "partitionValues": {"n_regionkey": str(r) if r else None}, "size": f.stat().st_size, "modificationTime": 0, "dataChange": True}} for f in folder.glob("*.parquet")]
+        adds += [{"add": {"path": f"n_regionkey={r}/{f.name}", "partitionValues": {"n_regionkey": str(r) if r else None}, "size": f.size(), "modificationTime": 0, "dataChange": True}} for f in folder.glob("*.parquet")]
     schema = {"type": "struct", "fields": [{"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in (("n_nationkey", "integer"), ("n_name", "string"), ("n_regionkey", "integer"))]}
     log = path / "_delta_log"
     log.mkdir()

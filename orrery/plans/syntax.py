@@ -44,6 +44,7 @@ class Call:
     args: list
     distinct: bool = False
     star: bool = False
+    within: list = field(default_factory=list)  # WITHIN GROUP: (expression, descending)
 
 
 @dataclass
@@ -182,6 +183,8 @@ class Select:
     order: list = field(default_factory=list)
     offset: Any = None
     fetch: Any = None
+    ties: bool = False
+    into: Name | None = None
 
 
 @dataclass

@@ -1,8 +1,8 @@
 """Read-only snapshots of Delta tables, by replay of the log.
 
-The log is metadata: it is replayed on the driver. Checkpoints are read with Spark and give actions of
-all kinds, so schema, protocol and partition values survive when older commits are gone. The data
-files of a snapshot are read as one scan for each set of partition values.
+The driver holds what a snapshot is, its list of files; of a checkpoint only the columns that are needed
+come to it. The data files are one scan where their folders say their partition values, so that a filter
+on these prunes folders; files elsewhere are a scan for each set of values.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
-from pathlib import Path
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SqlError
+from .files import SharedPath
 
 # Reader features that a snapshot reader can ignore.
 READER_FEATURES = {"timestampNtz", "appendOnly", "invariants"}
@@ -25,7 +25,7 @@ READER_FEATURES = {"timestampNtz", "appendOnly", "invariants"}
 
 @dataclass
 class Snapshot:
-    path: Path
+    path: SharedPath
     version: int = -1
     files: dict[str, dict] = field(default_factory=dict)  # path in the log -> partition values
     schema: T.StructType | None = None
@@ -33,7 +33,7 @@ class Snapshot:
     configuration: dict[str, str] = field(default_factory=dict)
 
 
-def is_delta(path: Path) -> bool:
+def is_delta(path: SharedPath) -> bool:
     return (path / "_delta_log").is_dir()
 
 
@@ -46,11 +46,11 @@ def _check_protocol(p: dict) -> None:
         raise SqlError(f"The Delta table needs reader features that are not supported: {', '.join(unknown)}.")
 
 
-def snapshot(spark: SparkSession, path: Path, as_of: int | None = None) -> Snapshot:
+def snapshot(spark: SparkSession, path: SharedPath, as_of: int | None = None) -> Snapshot:
     """The state of the table after its last commit, or after commit as_of."""
     log = path / "_delta_log"
     commits = {int(p.stem): p for p in log.glob("*.json") if re.fullmatch(r"\d{20}", p.stem)}
-    checkpoints: dict[int, list[Path]] = {}
+    checkpoints: dict[int, list[SharedPath]] = {}
     for p in log.glob("*.checkpoint*.parquet"):
         m = re.fullmatch(r"(\d{20})\.checkpoint(?:\.(\d{10})\.(\d{10}))?\.parquet", p.name)
         if m:
@@ -64,9 +64,14 @@ def snapshot(spark: SparkSession, path: Path, as_of: int | None = None) -> Snaps
     base = max((v for v in checkpoints if v <= last), default=None)
     if base is not None:
         rows = spark.read.parquet(*map(str, sorted(checkpoints[base])))
-        wanted = [c for c in ("add", "remove", "metaData", "protocol") if c in rows.columns]
-        for row in rows.select(*wanted).toJSON().toLocalIterator():
-            _apply(out, json.loads(row))
+        for kind in ("protocol", "metaData"):
+            if kind in rows.columns:
+                for row in rows.where(F.col(kind).isNotNull()).select(F.to_json(kind).alias("a")).collect():  # one or two rows
+                    _apply(out, {kind: json.loads(row.a)})
+        if "add" in rows.columns:
+            values = F.col("add.partitionValues") if "partitionValues" in rows.schema["add"].dataType.names else F.lit(None)
+            for row in rows.where("add is not null").select("add.path", values.alias("own")).collect():  # a checkpoint has each file that is there once
+                _apply(out, {"add": {"path": row.path, "partitionValues": dict(row.own) if row.own is not None else None}})
     for v in range(base + 1 if base is not None else 0, last + 1):
         if v not in commits:
             raise SqlError(f"The Delta log lacks commit {v}.")
@@ -98,21 +103,35 @@ def _hive_values(path: str) -> dict:
     return {unquote(k): None if v == "__HIVE_DEFAULT_PARTITION__" else unquote(v) for k, v in pairs}
 
 
+def absolute(snap: Snapshot, f: str) -> str:
+    """Where a file of the log stands."""
+    return unquote(f) if re.match(r"[a-z][a-z0-9+.-]*:", f) or f.startswith("/") else str(snap.path / unquote(f))
+
+
 def read_snapshot(spark: SparkSession, snap: Snapshot) -> DataFrame:
     """The rows, with partition columns of their declared types, in the order of the table's schema."""
-    absolute = lambda f: unquote(f) if re.match(r"[a-z][a-z0-9+.-]*:", f) or f.startswith("/") else str(snap.path / unquote(f))
-    groups: dict[tuple, list[str]] = {}
-    for f, values in snap.files.items():
-        groups.setdefault(tuple((c, values.get(c)) for c in snap.partitions), []).append(absolute(f))
     if snap.schema is None:
         if not snap.files:
             raise SqlError("The Delta table has neither a schema nor files.")
-        return spark.read.parquet(*[x for g in groups.values() for x in g])
+        return spark.read.parquet(*(absolute(snap, f) for f in snap.files))
+    foldered: list[str] = []
+    groups: dict[tuple, list[str]] = {}
+    for f, values in snap.files.items():
+        own = {c: values.get(c) for c in snap.partitions}
+        if own and not re.match(r"[a-z][a-z0-9+.-]*:|/", f) and list(_hive_values(f).items()) == list(own.items()):
+            foldered.append(absolute(snap, f))
+        else:
+            groups.setdefault(tuple(own.items()), []).append(absolute(snap, f))
+    names = [F.col(f"`{f.name}`") for f in snap.schema.fields]
+    parts = [spark.read.schema(snap.schema).option("basePath", str(snap.path)).parquet(*foldered).select(*names)] if foldered else []
     stored = T.StructType([f for f in snap.schema.fields if f.name not in snap.partitions])
-    out: DataFrame | None = None
     for values, files in groups.items():
-        part = spark.read.schema(stored).parquet(*files)
         known = dict(values)
-        part = part.select(*(F.lit(known[f.name]).cast(f.dataType).alias(f.name) if f.name in known else F.col(f"`{f.name}`") for f in snap.schema.fields))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], snap.schema)
+        part = spark.read.schema(stored).parquet(*files)
+        parts.append(part.select(*(F.lit(known[f.name]).cast(f.dataType).alias(f.name) if f.name in known else F.col(f"`{f.name}`") for f in snap.schema.fields)))
+    if not parts:
+        return spark.createDataFrame([], snap.schema)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

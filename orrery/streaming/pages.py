@@ -1,18 +1,22 @@
-"""Paged, snapshot-consistent delivery of a table's rows in file order."""
+"""Paged, snapshot-consistent delivery of a table's rows in file order.
+
+The number of rows of all files comes from one job over their footers; a file is opened only when the
+window reaches it.
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 from typing import Any
 
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.types import kind_of
-from ..sources.delta import read_snapshot, snapshot
+from ..sources.delta import absolute, read_snapshot, snapshot
+from ..sources.files import plain_path
 from ..sources.tables import TableRef
 
 DEFAULT_BATCH, MOST_BATCH = 10_000, 100_000
@@ -31,7 +35,8 @@ class TableStream:
     columns: list[str]
     types: list[str]
     total_rows: int
-    _parts: list[tuple[DataFrame, int]] = field(repr=False, default_factory=list)  # one for each file: its rows, their number
+    _files: list[tuple[str, int]] = field(repr=False, default_factory=list)  # each file and its number of rows
+    _open: Callable[[str], DataFrame] = field(repr=False, default=None)  # the rows of a file
     batch_size: int = DEFAULT_BATCH
     offset: int = 0
     limit: int | None = None
@@ -40,10 +45,12 @@ class TableStream:
         """Files outside of [offset, offset + limit) are not read; a file's rows come in their order."""
         end = self.total_rows if self.limit is None else min(self.total_rows, self.offset + self.limit)
         at, start, held = 0, self.offset, []
-        for rows, n in self._parts:
+        for file, n in self._files:
+            if at >= end:
+                break
             first, last = max(self.offset, at), min(end, at + n)
             if first < last:
-                window = rows.where((F.col("__at") >= first - at) & (F.col("__at") < last - at)).orderBy("__at").drop("__at")
+                window = _placed(self._open(file)).where((F.col("__at") >= first - at) & (F.col("__at") < last - at)).orderBy("__at").drop("__at")
                 for row in window.toLocalIterator(prefetchPartitions=False):
                     held.append(row.asDict())
                     if len(held) == self.batch_size:
@@ -64,23 +71,22 @@ def open_stream(spark: SparkSession, ref: TableRef, batch_size: int = DEFAULT_BA
     """Pins the table's files now; later writes do not show. batch_size is held between 1 and MOST_BATCH."""
     if offset < 0 or (limit is not None and limit < 0):
         raise ValueError("offset and limit must not be negative")
-    parts: list[tuple[DataFrame, int]] = []
     if ref.kind == "delta":
         snap = snapshot(spark, ref.path)
-        frame = read_snapshot(spark, snap)
-        whole = dict(snap.files)
-        for f in whole:
-            snap.files = {f: whole[f]}
-            path = f if f.startswith("/") else str(ref.path / f)
-            one = read_snapshot(spark, snap)
-            parts.append((_placed(one), pq.ParquetFile(path).metadata.num_rows))
-        snap.files = whole
+        frame, files = read_snapshot(spark, snap), list(snap.files)
+        place = {f: absolute(snap, f) for f in files}
+        open_file = lambda f: read_snapshot(spark, replace(snap, files={f: snap.files[f]}))
     else:
-        frame = ref.read(spark)
-        for f in ref.files():
-            parts.append((_placed(spark.read.schema(frame.schema).parquet(f)), pq.ParquetFile(f).metadata.num_rows))
+        frame, files = ref.read(spark), ref.files()
+        place = {f: f for f in files}
+        open_file = lambda f: spark.read.schema(frame.schema).parquet(f)
+    counts = {}
+    if files:
+        every = spark.read.schema(frame.schema).parquet(*place.values())
+        counts = {plain_path(r.file): r.n for r in every.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n")).collect()}  # a row for each file
+    numbered = [(f, counts.get(plain_path(place[f]), 0)) for f in files]
     fields = frame.schema.fields
-    return TableStream([f.name for f in fields], [kind_of(f.dataType) for f in fields], sum(n for _, n in parts), parts, max(1, min(MOST_BATCH, batch_size)), offset, limit)
+    return TableStream([f.name for f in fields], [kind_of(f.dataType) for f in fields], sum(n for _, n in numbered), numbered, open_file, max(1, min(MOST_BATCH, batch_size)), offset, limit)
 
 
 def _placed(df: DataFrame) -> DataFrame:
