@@ -12,6 +12,7 @@ COPIED percent of them stand at their places in lines of another text too: it is
 changed, and a matter of document dedup. Without that the lines of every group of near copies would be boilerplate. A copy
 loses the lines that recur elsewhere like any other text.
 
+What is joined with the texts grows with them and is never broadcast, whatever its size.
 Hot keys (a line of a third of all documents) are counted with map-side combination, and joined back to
 tables of one row for each key, which Spark's skew join splits.
 """
@@ -69,7 +70,7 @@ def _templates(row: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
     alone = leaves.where("paths = 1 and in_leaf >= 2").join(texts, "leaf").select("path", F.when(F.col("texts") >= min_docs, F.col("path")).alias("template"), F.col("n").alias("n_same"))
     mixed = written(texts.join(leaves.where("paths > 1"), "leaf").select("path", "leaf", "n", "texts", "in_leaf", "at"), "mixed")
     wanted = mixed.select("at.*", "path").groupBy("k1", "k2").agg(F.collect_list(F.struct("line", "path")).alias("wanted"))
-    found = row.join(wanted, ["k1", "k2"]).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("at")).select("at.path", _tokens(F.get("lines", "at.line")).alias("tokens"))
+    found = row.join(wanted.hint("merge"), ["k1", "k2"]).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("at")).select("at.path", _tokens(F.get("lines", "at.line")).alias("tokens"))
     rest = F.slice("tokens", _depth(F.size("tokens")) + 1, F.greatest(F.size("tokens"), F.lit(1)))
     found = found.select("path", F.transform(rest, lambda t: F.hash(t)).alias("rest")).distinct()  # equal texts bring a line again
     places = written(mixed.drop("at").join(found, "path").select("path", "leaf", "n", "texts", "in_leaf", F.posexplode_outer("rest").alias("place", "token")), "places")
@@ -115,7 +116,7 @@ def drop_recurring_lines(df: DataFrame, text_col: str = "text", min_docs: int =
     """
     cut = recurring_lines(df, text_col, min_docs).withColumnsRenamed({"k1": "c1", "k2": "c2"})
     row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("own_text")).withColumns(_keys("own_text"))
-    both = row.join(cut, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
+    both = row.join(cut.hint("merge"), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     all_lines, at = F.split("own_text", "\n"), F.col("cut")
     # what stands between one cut line and the next
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(at)), lambda i: F.slice(F.col("lines"), F.coalesce(F.get(at, i - 1), F.lit(-1)) + 2, F.coalesce(F.get(at, i), F.size("lines")) - F.coalesce(F.get(at, i - 1), F.lit(-1)) - 1)))
