@@ -5,6 +5,7 @@ import public_tokenizers
 import corpus_pipeline
 
 from . import plain
+from .test_operators import corpus, odd, table  # noqa: F401
 
 
 def test_every_stage_on_its_input(spark, tmp_path):
@@ -43,3 +44,37 @@ def test_every_stage_on_its_input(spark, tmp_path):
     assert {r.doc_id: r.decoded_sha256 for r in rows} == {r.doc_id: plain.sha(r.text or "") for r in given}
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf).collect()} == {tuple(r) for r in rows}
     assert public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def test_stages_on_odd_rows(spark, odd):  # noqa: F811
+    """Null and repeated ids, null and empty texts, repeated rows, columns of clashing names, and no rows at all: each stage gives its columns, and no text that was not there."""
+    sf = "/root/testdata/sf0.001"
+    for rows in (odd, odd[:0]):
+        docs = table(spark, rows) if rows else table(spark, odd).limit(0)
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            got = out.collect()
+            assert len(got) <= docs.count() and (out.columns == columns or name == corpus_pipeline.STAGES[-1][0])
+            if out.columns == columns:
+                docs = spark.createDataFrame(got, docs.schema)
+        assert bool(got) == bool(rows)
+
+
+def test_nothing_is_left_behind(spark):
+    """A caller's scope removes what operators keep; the pipeline leaves its last table only, which its result reads."""
+    import glob
+
+    from orrery.llm.common import documents, scratch
+    from orrery.llm.setsketch import near_duplicates
+    from orrery.llm.suffixes import drop_repeats
+
+    sf, top = "/root/testdata/sf0.001", spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{top}/*"))
+    with scratch():
+        for f in (near_duplicates, drop_repeats):
+            assert f(documents(spark, sf)).count() == documents(spark, sf).count()
+        assert set(glob.glob(f"{top}/*")) > before
+    assert set(glob.glob(f"{top}/*")) == before
+    corpus_pipeline.run(spark, sf).count()
+    assert [x.rsplit("/", 1)[-1].rsplit("-", 1)[0] for x in set(glob.glob(f"{top}/*")) - before] == ["stage-benchmark-decontamination"]
