@@ -219,7 +219,8 @@ def repeated_runs(df: DataFrame, width: int = WIDTH, passage: int = PASSAGE) ->
     found = map_slices(source, "doc_id long, k1 long, k2 int, h long, c long, first int, n int, size int", scan)
     places = written(found.groupBy("h", "c", "k1", "k2", "first", "n", "size").agg(F.count("*").alias("count"), F.min("doc_id").alias("doc_id")), "anchors")
     one = F.struct("k1", "k2", "doc_id", "first", "n", "size")
-    kinds = written(places.groupBy("h", "c").agg(F.sum("count").alias("count"), F.min(one).alias("low"), F.max(one).alias("high")), "contexts")
+    kinds = places.groupBy("h", "c").agg(F.sum("count").alias("count"), F.min(one).alias("low"), F.max(one).alias("high"))
+    kinds = written(kinds.withColumn("high", F.when(F.col("count") > 1, F.col("high"))), "contexts")
     groups = kinds.groupBy("h").agg(F.sum("count").alias("total"), F.count("*").alias("kinds")).where("total > 1").select("h", "kinds")
     both = F.when(F.col("count") > 1, F.array("low", "high")).otherwise(F.array("low"))  # a text that is found twice is its own other place
     chosen = kinds.join(groups, "h").select("h", "c", "count", "kinds", F.posexplode(both).alias("copy", "at"))
