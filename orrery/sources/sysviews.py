@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 EMPTY = "object_id INT, name STRING, schema_id INT, parent_object_id INT, type STRING, type_desc STRING, create_date TIMESTAMP_NTZ, modify_date TIMESTAMP_NTZ, is_ms_shipped INT, is_disabled INT"
@@ -14,11 +16,8 @@ EMPTY_VIEWS = {
 
 
 def object_id(name: str) -> int:
-    """A positive id from the upper-cased name (FNV-1a, 32 bits)."""
-    h = 2166136261
-    for b in name.upper().encode():
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    return (h & 0x7FFFFFFF) | 0x100
+    """A positive id, the same for a name in any letter case."""
+    return zlib.crc32(name.lower().encode()) % 2_000_000_000 + 1000
 
 
 def generator(spark: SparkSession) -> DataFrame:
