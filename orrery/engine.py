@@ -11,7 +11,7 @@ from datetime import datetime
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StructField
 
@@ -567,42 +567,50 @@ class _Run:
             ref = store.find(ref.schema, ref.name)
             if not ref.manifest.parts:
                 return QueryResult(message=f"0 row(s) updated in [{ref.name}].")
-            place = F.struct("_metadata.file_path", "_metadata.row_index")
-            target = ref.read(self.spark).select("*", place.alias("__row"))
+            before = ref.read(self.spark)
+            mark, files = dml.file_marks(before)
+            target = before.select("*", dml.place(mark).alias("__row"))
             others = [x for x in self._tables_of(joins) if x.name != name]
+            marks: dict[s.Name, dict] = {}
 
             def resolve(n: s.Name) -> DataFrame:
                 if n == name:
                     return target
                 df = e.resolve(n)
-                return df.select("*", place.alias("__at")) if n in ordered else df
+                if n not in ordered:
+                    return df
+                own, known = dml.file_marks(df)
+                marks.setdefault(n, {}).update(known)
+                return df.select("*", dml.place(own).alias("__at"))
 
             named = {c.name.lower() for c in st.ctes or []}
             ordered = {x.name for x in others if not (len(x.name) == 1 and x.name[0].lower() in named) and e.has_files(x.name)}
             source = joins or [s.Table(name, alias if alias != name[-1] else None)]
             items = [s.Item(s.Column((alias, "__row")), "__row")] + [s.Item(v, f"__set{i}") for i, (_, v) in enumerate(sets)]
-            order = [s.Item(s.Column((x.alias or x.name[-1], "__at")), f"__at{i}") for i, x in enumerate(others) if x.name in ordered]
+            with_place = [x for x in others if x.name in ordered]
+            order = [s.Item(s.Column((x.alias or x.name[-1], "__at")), f"__at{i}") for i, x in enumerate(with_place)]
             query = s.Select(items + order, source, st.where)
             low = self.lowering(resolve)
             texts = low.query(s.With(st.ctes, query) if st.ctes else query)
             kinds = [k for _, k in texts.columns[1 : 1 + len(sets)]]
             new = [F.expr(self._stored(low, (f"`__set{i}`", kinds[i]), c)).alias(f"__set{i}") for i, (c, _) in enumerate(sets)]
-            last = F.struct(*(x.alias for x in order), "__new") if order else F.struct("__new")
-            found = self.spark.sql(texts.sql).select("__row", F.struct(*new).alias("__new"), *(x.alias for x in order))
-            # of several matches the last one, in the order of the joined tables' files and rows
-            found = found.groupBy("__row").agg(F.max_by("__new", last).alias("__new"))
-            scratch = store.tables / f".scratch-{uuid.uuid4().hex}"
+            found = self.spark.sql(texts.sql).where("__row IS NOT NULL").select(F.col("__row.file").alias("__file"), F.col("__row.index").alias("__index"), F.struct(*new).alias("__new"), *(x.alias for x in order))
+            scratch, n = store.tables / f".scratch-{uuid.uuid4().hex}", 0
             try:
-                found.write.parquet(str(scratch))  # the join runs once
+                found.write.option("maxRecordsPerFile", dml.SLICE_ROWS).parquet(str(scratch))  # the join runs once; nothing is gathered yet
                 found = self.spark.read.schema(found.schema).parquet(str(scratch))
-                hits = {r.file: r.n for r in found.groupBy(F.col("__row.file_path").alias("file")).agg(F.count("*").alias("n")).collect()}  # a row for each file
-                n = sum(hits.values())
-                if n:
-                    at = {c.name: i for i, (c, _) in enumerate(sets)}
-                    joined = dml.rows_of(self.spark, ref, hits).select("*", place.alias("__row")).join(found, "__row", "left")
+                matches = {r["file"]: r["n"] for r in found.groupBy(F.col("__file").alias("file")).agg(F.count("*").alias("n")).collect()}  # a row for each file
+                if matches:
+                    hits = [files[m] for m in matches]
+                    found = dml.last_matches(found, [marks[x.name] for x in with_place])
+                    if sum(matches.values()) > dml.FEW_MATCHES:
+                        found = found.hint("merge")
+                    at, seen = {c.name: i for i, (c, _) in enumerate(sets)}, Observation()
                     hit = F.col("__new").isNotNull()
+                    joined = dml.rows_of(self.spark, ref, hits).select("*", mark.alias("__file"), F.col("_metadata.row_index").alias("__index")).join(found, ["__file", "__index"], "left").observe(seen, F.count_if(hit).alias("n"))
                     out = joined.select(*(F.when(hit, F.col(f"__new.__set{at[c.name]}")).otherwise(F.col(f"`{c.name}`")).alias(c.name) if c.name in at else F.col(f"`{c.name}`") for c in columns))
                     dml.replace(store, ref, hits, dml.with_computed(out, columns, computed))
+                    n = seen.get["n"]
             finally:
                 scratch.remove_tree()
         return QueryResult(message=f"{n} row(s) updated in [{ref.name}].")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.sql import Column as Expr
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,11 @@ from ..errors import SqlError
 from ..sources.files import plain_path
 from ..sources.tables import Column, TableRef, TableStore
 
+#: Rows in each file of the matches of an UPDATE: a task that gathers them sorts a few files.
+SLICE_ROWS = 250_000
+#: Up to so many matches may be sent to all tasks, if Spark finds them small; their size on disk says little of that in memory.
+FEW_MATCHES = 50_000
+
 
 def stored_schema(columns: list[Column]) -> T.StructType:
     return T.StructType([T.StructField(c.name, T.DataType.fromDDL(c.spark)) for c in columns])
@@ -90,6 +96,37 @@ def rows_of(spark: SparkSession, ref: TableRef, files: Iterable[str]) -> DataFra
     return spark.read.schema(stored_schema(ref.manifest.columns)).parquet(*(f for f in ref.files() if plain_path(f) in wanted))
 
 
+def file_marks(rows: DataFrame) -> tuple[Expr, dict]:
+    """What tells a row's file from the others that rows are read from, and the files by it.
+
+    A hash of the file's name, as paths in every row would fill the memory of sorts and joins; the path where two hashes are equal.
+    """
+    files = sorted(rows.inputFiles())
+    marks = dict(rows.sparkSession.createDataFrame([(f, f.rsplit("/", 1)[-1]) for f in files], "file STRING, name STRING").select(F.xxhash64("name"), "file").collect())
+    if len(marks) == len(files):
+        return F.xxhash64("_metadata.file_name"), marks
+    paths = rows.select(F.col("_metadata.file_path").alias("file")).distinct().collect()  # a row for each file
+    return F.col("_metadata.file_path"), {r.file: r.file for r in paths}
+
+
+def place(mark: Expr) -> Expr:
+    return F.struct(mark.alias("file"), F.col("_metadata.row_index").alias("index"))
+
+
+def last_matches(found: DataFrame, marks: list[dict]) -> DataFrame:
+    """Of the matches of a row (`__file`, `__index`) the last one's `__new`, in the order of the joined tables' files and rows.
+
+    `__at0`, `__at1` ... are places in the joined tables, and marks their files.
+    """
+    order = []
+    for i, known in enumerate(marks):
+        ranks = found.sparkSession.createDataFrame([(m, k) for k, m in enumerate(sorted(known, key=known.get))], [f"__mark{i}", f"__rank{i}"])
+        found = found.join(F.broadcast(ranks), F.col(f"__at{i}.file") == F.col(f"__mark{i}"), "left")
+        order += [F.when(F.col(f"__at{i}").isNotNull(), F.coalesce(f"__rank{i}", F.raise_error(F.lit("A file of a joined table is not known.")).cast("long"))), F.col(f"__at{i}.index")]
+    order = [x.alias(f"o{i}") for i, x in enumerate(order)]
+    return found.groupBy("__file", "__index").agg(F.max_by("__new", F.struct(*order, "__new")).alias("__new"))
+
+
 def replace(store: TableStore, ref: TableRef, files: Iterable[str], rows: DataFrame) -> None:
     """Rows in place of those of some files, in one version. All other files stay."""
     gone, parts = {plain_path(f) for f in files}, []

@@ -121,3 +121,58 @@ def test_a_version_is_written_once(engine, rows, fails):
     with pytest.raises(SqlError, match="another session"):
         store.publish(theirs, mine.manifest.parts, None)
     assert rows("SELECT COUNT(*) FROM t") == [(0,)]
+
+
+def peak_mb(spark, job):
+    """MB of execution memory of a task while job runs: the mean of a stage's tasks, where it is largest."""
+    import time
+
+    def stages():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        time.sleep(0.3)
+        none = spark._jvm.java.util.ArrayList()
+        found = spark._jsc.sc().statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return {found.apply(i).stageId(): found.apply(i) for i in range(found.size())}
+
+    known = stages()
+    job()
+    return max(x.peakExecutionMemory() / max(1, x.numCompleteTasks()) for k, x in stages().items() if k not in known) / 1e6
+
+
+def many_rows(engine, rows, n):
+    """A table t of n rows in one file."""
+    engine.spark.range(n, numPartitions=1).write.parquet(str(engine.store.tables / "numbers"))
+    rows("CREATE TABLE t (K BIGINT, V BIGINT); INSERT INTO t SELECT id, 0 FROM numbers")
+
+
+def test_memory_of_an_update_with_several_matches(engine, rows):
+    """Matches are gathered in slices and hold no path; they are not sent to all tasks because their file is small."""
+    many_rows(engine, rows, 600_000)
+    rows("CREATE TABLE u (K INT, V INT); INSERT INTO u VALUES (0, 9), (0, 2), (1, 7); INSERT INTO u VALUES (1, 3), (0, 5)")
+    assert peak_mb(engine.spark, lambda: rows("UPDATE t SET V = u.V FROM t JOIN u ON u.K = t.K % 3")) < 150
+    assert rows("SELECT K % 3 AS r, V, COUNT(*) FROM t GROUP BY K % 3, V ORDER BY r") == [(0, 5, 200_000), (1, 3, 200_000), (2, 0, 200_000)]
+
+
+def test_update_leaves_out_rows_without_a_target(rows):
+    rows("CREATE TABLE t (K INT, V INT); INSERT INTO t VALUES (1, 0), (2, 0); CREATE TABLE u (K INT, V INT); INSERT INTO u VALUES (1, 4), (3, 5), (3, 6)")
+    rows("UPDATE x SET x.V = u.V FROM u LEFT JOIN t x ON x.K = u.K")
+    assert rows("SELECT K, V FROM t ORDER BY K") == [(1, 4), (2, 0)]
+
+
+def test_update_counts_rows_and_not_matches(engine, rows):
+    rows("CREATE TABLE t (K INT, V INT); INSERT INTO t VALUES (1, 0), (2, 0), (3, 0); CREATE TABLE u (K INT, V INT); INSERT INTO u VALUES (1, 4), (1, 5), (2, 6); CREATE TABLE w (V INT); INSERT INTO w VALUES (10), (30); INSERT INTO w VALUES (20)")
+    assert engine.execute_query("UPDATE t SET V = u.V + w.V FROM t JOIN u ON u.K = t.K CROSS JOIN w").message.startswith("2 row(s) updated")
+    assert rows("SELECT K, V FROM t ORDER BY K") == [(1, 25), (2, 26), (3, 0)]
+
+
+def test_files_of_one_name_are_told_apart(spark, tmp_path):
+    from orrery.operators import dml
+
+    for folder in ("a b", "c"):
+        spark.range(3).coalesce(1).write.parquet(str(tmp_path / folder))
+        next((tmp_path / folder).glob("*.parquet")).rename(tmp_path / folder / "part %1.parquet")
+        [x.unlink() for x in (tmp_path / folder).glob(".*.crc")]
+    for names, n in ((["a b"], 1), (["a b", "c"], 2)):
+        df = spark.read.parquet(*(str(tmp_path / x) for x in names))
+        mark, files = dml.file_marks(df)
+        assert len(files) == n and {r.m for r in df.select(mark.alias("m")).collect()} == set(files)
