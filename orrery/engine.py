@@ -602,7 +602,8 @@ class _Run:
                 matches = {r["file"]: r["n"] for r in found.groupBy(F.col("__file").alias("file")).agg(F.count("*").alias("n")).collect()}  # a row for each file
                 if matches:
                     hits = [files[m] for m in matches]
-                    found = dml.last_matches(found, [marks[x.name] for x in with_place])
+                    if joins not in ([], [table]):
+                        found = dml.last_matches(found, [marks[x.name] for x in with_place])
                     if sum(matches.values()) > dml.FEW_MATCHES:
                         found = found.hint("merge")
                     at, seen = {c.name: i for i, (c, _) in enumerate(sets)}, Observation()

@@ -176,3 +176,12 @@ def test_files_of_one_name_are_told_apart(spark, tmp_path):
         df = spark.read.parquet(*(str(tmp_path / x) for x in names))
         mark, files = dml.file_marks(df)
         assert len(files) == n and {r.m for r in df.select(mark.alias("m")).collect()} == set(files)
+
+
+def test_memory_of_an_update_from_a_large_table(engine, rows):
+    """What a join sends to all tasks holds no path; an update of a table alone gathers no matches."""
+    many_rows(engine, rows, 600_000)
+    rows("CREATE TABLE u (K BIGINT, V BIGINT); INSERT INTO u SELECT id, id % 5 FROM numbers")
+    assert peak_mb(engine.spark, lambda: rows("UPDATE t SET V = u.V FROM t JOIN u ON u.K = t.K WHERE u.V > 1")) < 110
+    assert peak_mb(engine.spark, lambda: rows("UPDATE t SET V += 1 WHERE V > 0")) < 110
+    assert rows("SELECT V, COUNT(*) FROM t GROUP BY V ORDER BY V") == [(0, 240_000), (3, 120_000), (4, 120_000), (5, 120_000)]
